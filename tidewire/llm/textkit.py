@@ -89,7 +89,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return np.zeros(0, U)
     total = np.zeros(len(data) + 1, U)
     np.cumsum(_BYTE[data] * _power("up", len(data)), out=total[1:])
-    return mix((total[end] - total[start]) * _power("down", len(data))[start] + U(0x632BE59BD9B4E019) * (end - start).astype(U))
+    return mix((total[end] - total[start]) * _power("down", len(data) + 1)[start] + U(0x632BE59BD9B4E019) * (end - start).astype(U))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
