@@ -1,15 +1,16 @@
 """Toxicity scores from a subsequence string-kernel SVM with Nyström landmarks.
 
-The kernel of two words compares their subsequences of three letters, each
+The kernel of two strings compares their subsequences of three letters, each
 weighted by DECAY to the power of the stretch it spans (SPAN letters at most),
-normalised to 1 for equal words; values under FLOOR count as 0, the rest is raised
-to POWER, so that many words slightly like an insult do not add up to one. So an insult
-with inserted, dropped or appended letters stays close to its plain form. A
-sentence is the sum of its words. The Nyström map projects sentences on
-landmark words; a linear SVM (squared hinge) is trained there on labelled
-sentences, where a toxic document lends its label to its sentences that are near a landmark
-and a clean one to the sentence the model finds most toxic. A document scores
-as its most toxic sentence.
+normalised to 1 for equal strings; values under FLOOR count as 0, the rest is
+raised to POWER, so that many strings slightly like an insult do not add up to
+one. A word is the sum of its windows of WINDOW letters (a shorter word is one),
+a sentence the sum of its words; so an insult with inserted, dropped or appended
+letters stays close to its plain form. The Nyström map projects sentences on
+landmark strings; a linear SVM (squared hinge) is trained there on labelled
+sentences, where a toxic document lends its label to its sentences that hold a
+landmark and a clean one to the sentence the model finds most toxic. A
+document scores as its most toxic sentence.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import textkit as tk
 
-DECAY, SPAN, FLOOR, POWER = 0.7, 6, 0.4, 4
+DECAY, SPAN, FLOOR, POWER, WINDOW = 0.7, 5, 0.5, 4, 5
+SURE = 0  # a window is a landmark candidate if luck would bring fewer than exp(-SURE) such windows
 #: Bounds of the training sample: documents of each label, bytes of one of them; landmarks; words of a sentence.
-SAMPLE_DOCS, SAMPLE_BYTES, LANDMARKS, SENTENCE = 3000, 1 << 16, 128, 32
+SAMPLE_DOCS, SAMPLE_BYTES, LANDMARKS, SENTENCE = 2000, 1 << 16, 128, 32
 
 _CLASS = np.full(256, 255, np.uint8)  # a-z and six classes of bytes over 127; all else is no letter
 _CLASS[97:123] = np.arange(26)
@@ -39,7 +41,7 @@ _STEPS = [(a, b, DECAY ** (a + b + 1)) for a in range(1, SPAN) for b in range(1,
 
 @dataclass
 class Words:
-    """The words of a block: letters one after the other, where each word begins, its row and its sentence."""
+    """Strings of a block: its letters one after the other, where each string begins, its size, row and sentence."""
 
     letters: np.ndarray
     start: np.ndarray
@@ -50,6 +52,12 @@ class Words:
     def hashes(self) -> np.ndarray:
         return tk.span_hashes(self.letters, self.start, self.start + self.size)
 
+    def windows(self, size: int, whole: bool = True) -> Words:
+        """All windows of ``size`` letters; shorter strings stay if ``whole``."""
+        many = np.maximum(int(whole), self.size - size + 1)
+        start = np.repeat(self.start - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return Words(self.letters, start, np.repeat(np.minimum(self.size, size), many), np.repeat(self.row, many), np.repeat(self.sentence, many))
+
 
 def split(data: np.ndarray, offsets: np.ndarray) -> Words:
     """Words of whole texts; marks inside words are dropped and three or more single letters in a row join to one word."""
@@ -168,7 +176,7 @@ class Model:
         n = len(offsets) - 1
         if self.kernel is None:
             return np.full(n, self.bias)
-        w, best = split(data, offsets), np.full(n, self.bias)
+        w, best = split(data, offsets).windows(WINDOW), np.full(n, self.bias)
         if len(w.row):
             first = np.flatnonzero(np.r_[True, w.sentence[1:] != w.sentence[:-1]])
             total = np.add.reduceat(self.word_scores(w), first) + self.bias
@@ -196,49 +204,107 @@ def _svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
+def _frequencies(blocks: list, size: int, whole: bool, of: np.ndarray | None = None, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows (of those in ``of``, sorted) by hash, with the number of rows (for which ``rows`` is true) that hold them."""
+    seen = [np.zeros(0, tk.U)]
+    for w, base in blocks:
+        w = w.windows(size, whole)
+        h, row = w.hashes(), w.row + base
+        keep = w.size >= 3
+        if rows is not None:
+            keep &= rows[row]
+        if of is not None:
+            keep &= of[np.minimum(np.searchsorted(of, h), len(of) - 1)] == h
+        h, row = h[keep], row[keep]
+        order = np.lexsort((row, h))
+        h, row = h[order], row[order]
+        seen.append(h[np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]] if len(h) else h)
+    kinds, many = np.unique(np.concatenate(seen), return_counts=True)
+    if of is None:
+        return kinds, many
+    full = np.zeros(len(of), np.int64)
+    full[np.searchsorted(of, kinds)] = many
+    return of, full
+
+
+def _rank(blocks: list, size: int, whole: bool, of: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """How surely the windows ``of`` mark toxic rows: minus the logarithm of the chance of so many by luck (Chernoff's bound)."""
+    bad, good = (_frequencies(blocks, size, whole, of, rows)[1] for rows in (toxic, ~toxic))
+    share, many = toxic.mean(), np.maximum(1, bad + good)
+    a = np.clip(bad / many, 1e-9, 1 - 1e-9)
+    return np.where(a > share, many * (a * np.log(a / share) + (1 - a) * np.log((1 - a) / (1 - share))), 0)
+
+
+def _letters_of(blocks: list, size: int, whole: bool, wanted: np.ndarray) -> dict[int, np.ndarray]:
+    found: dict[int, np.ndarray] = {}
+    for w, _ in blocks:
+        w = w.windows(size, whole)
+        h = w.hashes()
+        for i in np.flatnonzero(np.isin(h, wanted)):
+            if int(h[i]) not in found:
+                found[int(h[i])] = w.letters[w.start[i] : w.start[i] + w.size[i]]
+    return found
+
+
+def _landmarks(blocks: list, toxic: np.ndarray) -> list[np.ndarray]:
+    """Windows that mark toxic rows, unlike one another."""
+    kinds, many = _frequencies(blocks, WINDOW, True, rows=toxic)
+    kinds = kinds[many >= min(3, many.max(initial=0))]
+    if not len(kinds):
+        return []
+    rank = _rank(blocks, WINDOW, True, kinds, toxic)
+    top = kinds[np.argsort(-rank, kind="stable")[: 12 * LANDMARKS]]
+    tops = _letters_of(blocks, WINDOW, True, top)
+    ranked: list[tuple[float, bytes]] = [(float(rank[np.searchsorted(kinds, h)]), x.tobytes()) for h, x in tops.items()]
+    ranked = sorted({x for x in ranked if x[0] > np.log(len(kinds)) + SURE}, key=lambda x: (-x[0], x[1]))[: 12 * LANDMARKS]
+    strings = [np.frombuffer(x, np.uint8) for _, x in ranked]
+    if not strings:
+        return []
+    near = Kernel.of(*_packed(strings)).values(*_packed(strings))
+    picked: list[int] = []
+    for i in range(len(strings)):
+        if len(picked) < LANDMARKS and (not picked or near[i, picked].max() < 0.5):
+            picked.append(i)
+    return [strings[i] for i in picked]
+
+
+def _packed(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.array([len(x) for x in strings])
+    return np.concatenate(strings), np.cumsum(size) - size, size
+
+
 def train(texts: list[str], toxic: np.ndarray) -> Model:
     """A model of labelled texts; without both labels the score is the only label seen, or 0."""
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return Model(None, np.zeros(0), float(toxic.any()), 1.0)
-    w = split(*tk.utf8(pa.array(texts, pa.large_string())))
-    h = w.hashes()
-    long = w.size >= 3
-    docs = np.unique(np.column_stack([h[long], w.row[long].astype(tk.U)]), axis=0)
-    kinds, at = np.unique(docs[:, 0], return_inverse=True)
-    bad = np.bincount(at, toxic[docs[:, 1].astype(np.int64)], minlength=len(kinds))
-    good = np.bincount(at, minlength=len(kinds)) - bad
-    rank = np.sqrt(bad) * (np.log((bad + 0.5) / toxic.sum()) - np.log((good + 0.5) / (~toxic).sum()))
-    where = dict(zip(h.tolist(), range(len(h)), strict=True))
-    order = [where[int(kinds[k])] for k in np.argsort(-rank, kind="stable")[: 20 * LANDMARKS] if rank[k] > 0]
-    if not order:
+    blocks = [(split(data, offsets), lo) for lo, _, data, offsets in tk.texts(pa.array(texts, pa.large_string()))]
+    strings = _landmarks(blocks, toxic)
+    if not strings:
         return Model(None, np.zeros(0), 0.0, 1.0)
-    chosen = np.array(order)
-    near = Kernel.of(w.letters, w.start[chosen], w.size[chosen]).values(w.letters, w.start[chosen], w.size[chosen])
-    picked: list[int] = []
-    for i in range(len(chosen)):
-        if len(picked) < LANDMARKS and (not picked or near[i, picked].max() < 0.7):
-            picked.append(i)
-    chosen = chosen[picked]
-    kernel = Kernel.of(w.letters, w.start[chosen], w.size[chosen])
-    value, vector = np.linalg.eigh(near[np.ix_(picked, picked)].astype(float))
+    kernel = Kernel.of(*_packed(strings))
+    value, vector = np.linalg.eigh(kernel.values(*_packed(strings)).astype(float))
     root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
 
-    _, first, back = np.unique(h, return_index=True, return_inverse=True)
-    per_word = kernel.values(w.letters, w.start[first], w.size[first])
-    begin = np.flatnonzero(np.r_[True, w.sentence[1:] != w.sentence[:-1]])
-    x = np.zeros((len(begin), len(picked)))
-    hit = np.flatnonzero(per_word.any(1)[back])
-    np.add.at(x, np.searchsorted(begin, hit, "right") - 1, per_word[back[hit]])
-    z, rows = x @ root, w.row[begin]
-    score, close = x.sum(1) - 1, x.max(1, initial=0) >= 0.5
+    found, rows = [np.zeros((0, len(strings)))], [np.zeros(0, np.int64)]
+    for w, base in blocks:  # sentences near no landmark are alike: all 0
+        w = w.windows(WINDOW)
+        _, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        values = kernel.values(w.letters, w.start[first], w.size[first])
+        hit = np.flatnonzero(values.any(1)[back])
+        if len(hit):
+            begin = np.flatnonzero(np.r_[True, w.sentence[hit][1:] != w.sentence[hit][:-1]])
+            found.append(np.add.reduceat(values[back[hit]], begin, axis=0))
+            rows.append(w.row[hit][begin] + base)
+    found.append(np.zeros(((~toxic).sum(), len(strings))))
+    x, row = np.concatenate(found), np.concatenate([*rows, np.flatnonzero(~toxic)])
+    z, score, close = x @ root, x.sum(1), x.max(1, initial=0) >= 0.9
     weights = None
     for _ in range(6):
-        order = np.lexsort((-score, rows))
-        top = order[np.flatnonzero(np.r_[True, rows[order][1:] != rows[order][:-1]])]
-        bad = np.flatnonzero(toxic[rows] & close)
-        used = np.concatenate([bad, top[~toxic[rows[top]]]])
-        weights = _svm(z[used], np.where(toxic[rows[used]], 1.0, -1.0))
+        order = np.lexsort((-score, row))
+        top = order[np.flatnonzero(np.r_[True, row[order][1:] != row[order][:-1]])]
+        used = np.concatenate([np.flatnonzero(toxic[row] & close), top[~toxic[row[top]]]])
+        weights = _svm(z[used], np.where(toxic[row[used]], 1.0, -1.0))
         score = z @ weights[:-1] + weights[-1]
     return Model(kernel, root @ weights[:-1], float(weights[-1]), 3.0)
 
