@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,26 @@ def op7_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.selectExpr("doc_id", f"coalesce({HELD_OUT}, false) as held_out", "toxicity as score", "cast(toxicity >= 0.5 as int) as predicted")
 
 
+def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import poisson_mix
+
+    mixed = poisson_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", F.col("replica").cast("long").alias("replica"), "text")
+
+
+def op3_proportional_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_table
+
+    out = shard_table(table(spark, sf_dir, "documents"), 40)
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "source")
+
+
+def op2_seeded_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

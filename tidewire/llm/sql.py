@@ -1,3 +1,21 @@
 """DuckDB SQL for the registered queries that SQL can express on whole tables."""
 
-ORACLES: dict[str, str] = {}
+POISSON_MIX = """
+WITH RECURSIVE n AS (SELECT source, CAST(count(*) AS DOUBLE) AS n FROM documents GROUP BY source),
+t AS (SELECT sum(n) AS total_n, sum(pow(n, 0.5)) AS total_w FROM n),
+rate AS (SELECT source, pow(n, 0.5) / total_w * total_n / n AS rate FROM n, t),
+piece AS (SELECT source, rate, greatest(1, CAST(ceil(rate / 8.0) AS INT)) AS pieces FROM rate),
+cdf AS (
+  SELECT source, pieces, rate / pieces AS mean, 0 AS k, exp(-(rate / pieces)) AS p, exp(-(rate / pieces)) AS c FROM piece
+  UNION ALL
+  SELECT source, pieces, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < 59),
+steps AS (SELECT source, pieces, list(c ORDER BY k) AS cs FROM cdf GROUP BY source, pieces),
+draws AS (
+  SELECT d.doc_id, d.source, d.text,
+         list_sum(list_transform(range(1, pieces + 1), lambda i: len(list_filter(cs, lambda c: c <=
+           CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || i || ':17'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0)))) AS n
+  FROM documents d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, source, unnest(range(0, CAST(n AS BIGINT))) AS replica, text FROM draws
+"""
+
+ORACLES: dict[str, str] = {"op5_poisson_mix": POISSON_MIX}
