@@ -15,7 +15,7 @@ document scores as its most toxic sentence.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +27,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from . import textkit as tk
 
 DECAY, SPAN, FLOOR, POWER, WINDOW = 0.7, 5, 0.5, 4, 5
-SURE = 0  # a window is a landmark candidate if luck would bring fewer than exp(-SURE) such windows
+SURE, CLOSE = 0, 0.9  # a window is a landmark candidate if luck would bring fewer than exp(-SURE) such windows; a sentence holds one at this kernel value
 #: Bounds of the training sample: documents of each label, bytes of one of them; landmarks; words of a sentence.
-SAMPLE_DOCS, SAMPLE_BYTES, LANDMARKS, SENTENCE = 2000, 1 << 16, 128, 32
+SAMPLE_DOCS, SAMPLE_BYTES, LANDMARKS, SENTENCE = 1500, 1 << 16, 128, 32
 
 _CLASS = np.full(256, 255, np.uint8)  # a-z and six classes of bytes over 127; all else is no letter
 _CLASS[97:123] = np.arange(26)
@@ -123,9 +123,8 @@ class Kernel:
         np.add.at(table, (slot[code], word), weight / norm[word])
         return Kernel(slot, table)
 
-    def values(self, letters: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """One row for each word, one column for each landmark."""
-        out = np.zeros((len(size), self.table.shape[1]), np.float32)
+    def values(self, letters: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words that may be near a landmark, and a row of kernel values for each; all other words have none."""
         word, code, weight = features(letters, start, size)
         keep = self.slot[code] >= 0
         word, slot, weight = word[keep], self.slot[code[keep]], weight[keep]
@@ -133,8 +132,9 @@ class Kernel:
         low = np.sqrt(sum(np.maximum(0, size - a - b) * w * w for a, b, w in _STEPS))
         share = np.bincount(word, self._most[slot] * weight, minlength=len(size))
         near = np.flatnonzero((share >= FLOOR * low * 0.999) & (low > 0))
+        out = np.zeros((len(near), self.table.shape[1]), np.float32)
         if not len(near):
-            return out
+            return near, out
         number = np.full(len(size), -1)
         number[near] = np.arange(len(near))
         keep = number[word] >= 0
@@ -150,8 +150,8 @@ class Kernel:
             key = np.repeat((word[i] - lo) * m, many) + self._landmark[entry]
             hi = min(lo + 4096, len(near))
             sums = np.bincount(key, np.repeat(weight[i], many) * self._value[entry], minlength=(hi - lo) * m).reshape(hi - lo, m) / norm[lo:hi, None]
-            out[near[lo:hi]] = np.where(sums >= FLOOR, sums**POWER, 0)
-        return out
+            out[lo:hi] = np.where(sums >= FLOOR, sums**POWER, 0)
+        return near, out
 
     def __post_init__(self) -> None:
         self._most = self.table.max(1) if self.table.size else np.zeros(len(self.table), np.float32)
@@ -170,7 +170,10 @@ class Model:
 
     def word_scores(self, w: Words) -> np.ndarray:
         _, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        return (self.kernel.values(w.letters, w.start[first], w.size[first]) @ self.direction)[back]
+        near, values = self.kernel.values(w.letters, w.start[first], w.size[first])
+        score = np.zeros(len(first))
+        score[near] = values @ self.direction
+        return score[back]
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
@@ -204,10 +207,10 @@ def _svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def _frequencies(blocks: list, size: int, whole: bool, of: np.ndarray | None = None, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _frequencies(blocks: Callable[[], Iterator[tuple[Words, int]]], size: int, whole: bool, of: np.ndarray | None = None, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct windows (of those in ``of``, sorted) by hash, with the number of rows (for which ``rows`` is true) that hold them."""
     seen = [np.zeros(0, tk.U)]
-    for w, base in blocks:
+    for w, base in blocks():
         w = w.windows(size, whole)
         h, row = w.hashes(), w.row + base
         keep = w.size >= 3
@@ -227,7 +230,7 @@ def _frequencies(blocks: list, size: int, whole: bool, of: np.ndarray | None = N
     return of, full
 
 
-def _rank(blocks: list, size: int, whole: bool, of: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def _rank(blocks: Callable[[], Iterator[tuple[Words, int]]], size: int, whole: bool, of: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """How surely the windows ``of`` mark toxic rows: minus the logarithm of the chance of so many by luck (Chernoff's bound)."""
     bad, good = (_frequencies(blocks, size, whole, of, rows)[1] for rows in (toxic, ~toxic))
     share, many = toxic.mean(), np.maximum(1, bad + good)
@@ -235,9 +238,9 @@ def _rank(blocks: list, size: int, whole: bool, of: np.ndarray, toxic: np.ndarra
     return np.where(a > share, many * (a * np.log(a / share) + (1 - a) * np.log((1 - a) / (1 - share))), 0)
 
 
-def _letters_of(blocks: list, size: int, whole: bool, wanted: np.ndarray) -> dict[int, np.ndarray]:
+def _letters_of(blocks: Callable[[], Iterator[tuple[Words, int]]], size: int, whole: bool, wanted: np.ndarray) -> dict[int, np.ndarray]:
     found: dict[int, np.ndarray] = {}
-    for w, _ in blocks:
+    for w, _ in blocks():
         w = w.windows(size, whole)
         h = w.hashes()
         for i in np.flatnonzero(np.isin(h, wanted)):
@@ -246,7 +249,7 @@ def _letters_of(blocks: list, size: int, whole: bool, wanted: np.ndarray) -> dic
     return found
 
 
-def _landmarks(blocks: list, toxic: np.ndarray) -> list[np.ndarray]:
+def _landmarks(blocks: Callable[[], Iterator[tuple[Words, int]]], toxic: np.ndarray) -> list[np.ndarray]:
     """Windows that mark toxic rows, unlike one another."""
     kinds, many = _frequencies(blocks, WINDOW, True, rows=toxic)
     kinds = kinds[many >= min(3, many.max(initial=0))]
@@ -260,7 +263,7 @@ def _landmarks(blocks: list, toxic: np.ndarray) -> list[np.ndarray]:
     strings = [np.frombuffer(x, np.uint8) for _, x in ranked]
     if not strings:
         return []
-    near = Kernel.of(*_packed(strings)).values(*_packed(strings))
+    near = Kernel.of(*_packed(strings)).values(*_packed(strings))[1]
     picked: list[int] = []
     for i in range(len(strings)):
         if len(picked) < LANDMARKS and (not picked or near[i, picked].max() < 0.5):
@@ -273,32 +276,42 @@ def _packed(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.concatenate(strings), np.cumsum(size) - size, size
 
 
-def train(texts: list[str], toxic: np.ndarray) -> Model:
+def train(texts: list[str] | pa.Array, toxic: np.ndarray) -> Model:
     """A model of labelled texts; without both labels the score is the only label seen, or 0."""
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return Model(None, np.zeros(0), float(toxic.any()), 1.0)
-    blocks = [(split(data, offsets), lo) for lo, _, data, offsets in tk.texts(pa.array(texts, pa.large_string()))]
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+
+    def blocks() -> Iterator[tuple[Words, int]]:
+        return ((split(data, offsets), lo) for lo, _, data, offsets in tk.texts(column, 1 << 19))
+
     strings = _landmarks(blocks, toxic)
     if not strings:
         return Model(None, np.zeros(0), 0.0, 1.0)
     kernel = Kernel.of(*_packed(strings))
-    value, vector = np.linalg.eigh(kernel.values(*_packed(strings)).astype(float))
+    value, vector = np.linalg.eigh(kernel.values(*_packed(strings))[1].astype(float))
     root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
 
-    found, rows = [np.zeros((0, len(strings)))], [np.zeros(0, np.int64)]
-    for w, base in blocks:  # sentences near no landmark are alike: all 0
+    found, rows = [np.zeros((0, len(strings)), np.float32)], [np.zeros(0, np.int64)]
+    for w, base in blocks():  # sentences near no landmark are alike: all 0
         w = w.windows(WINDOW)
         _, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        values = kernel.values(w.letters, w.start[first], w.size[first])
-        hit = np.flatnonzero(values.any(1)[back])
+        near, values = kernel.values(w.letters, w.start[first], w.size[first])
+        number = np.full(len(first), -1)
+        number[near[values.any(1)]] = np.flatnonzero(values.any(1))
+        hit = np.flatnonzero(number[back] >= 0)
         if len(hit):
             begin = np.flatnonzero(np.r_[True, w.sentence[hit][1:] != w.sentence[hit][:-1]])
-            found.append(np.add.reduceat(values[back[hit]], begin, axis=0))
-            rows.append(w.row[hit][begin] + base)
-    found.append(np.zeros(((~toxic).sum(), len(strings))))
+            x, row = np.add.reduceat(values[number[back[hit]]], begin, axis=0), w.row[hit][begin] + base
+            order = np.lexsort((-x.sum(1), row))
+            nth = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+            use = order[(nth < 5) | toxic[row[order]] & (x[order].max(1) >= CLOSE)]
+            found.append(x[use])
+            rows.append(row[use])
+    found.append(np.zeros(((~toxic).sum(), len(strings)), np.float32))
     x, row = np.concatenate(found), np.concatenate([*rows, np.flatnonzero(~toxic)])
-    z, score, close = x @ root, x.sum(1), x.max(1, initial=0) >= 0.9
+    z, score, close = x @ root, x.sum(1), x.max(1, initial=0) >= CLOSE
     weights = None
     for _ in range(6):
         order = np.lexsort((-score, row))
@@ -309,7 +322,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     return Model(kernel, root @ weights[:-1], float(weights[-1]), 3.0)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, held_out: str) -> tuple[list[str], np.ndarray]:
+def training_rows(docs: DataFrame, labels: DataFrame, held_out: str) -> tuple[pa.Array, np.ndarray]:
     """A bounded sample of labelled texts: at most SAMPLE_DOCS toxic and twice as many clean ones in the order of a hash, of SAMPLE_BYTES at most.
 
     Documents whose labels contradict one another teach nothing, and neither do rows for which ``held_out`` is true.
@@ -318,9 +331,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: str) -> tuple[li
     known = known.where(f"not ({held_out})")
     ids = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(SAMPLE_DOCS * (2 - t)) for t in (1, 0)]
     ids = F.broadcast(ids[0].unionByName(ids[1]))  # at most 3 * SAMPLE_DOCS pairs of numbers
-    found = docs.select("doc_id", "text").where(f"text is not null and octet_length(text) <= {SAMPLE_BYTES}").join(ids, "doc_id").select("text", "toxic").toPandas()
-    found = found.drop_duplicates().sort_values(["toxic", "text"], ignore_index=True)
-    return found["text"].tolist(), found["toxic"].to_numpy() == 1
+    found = docs.select("doc_id", "text").where(f"text is not null and octet_length(text) <= {SAMPLE_BYTES}").join(ids, "doc_id").select("text", "toxic").toArrow()
+    found = found.group_by(["toxic", "text"]).aggregate([]).sort_by([("toxic", "ascending"), ("text", "ascending")])
+    return found["text"].combine_chunks(), found["toxic"].to_numpy() == 1
 
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
