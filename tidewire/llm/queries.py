@@ -47,6 +47,27 @@ def op2_seeded_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op1_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import HELD_OUT, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), train(docs))
+    return found.select("doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op10_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multiindex import neighbours
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op4_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .surrogates import pseudonymised
+
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
