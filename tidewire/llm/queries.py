@@ -68,6 +68,20 @@ def op4_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .perplexity import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
+def op6_licence_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths; they are laid out as source / thousands / hundreds of doc_id / doc_id."""
+    from .licences import licensed
+
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.expr("cast(doc_id div 1000 as string)"), F.expr("cast(doc_id div 100 as string)"), F.col("doc_id").cast("string"))
+    return licensed(table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
