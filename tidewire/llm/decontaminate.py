@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from . import textkit as tk
 from .scratch import written
 
-#: Words of a seed; a seed in more than RARE of the documents is no seed unless its item would keep fewer than LEAST.
+#: Words of a seed; a seed in more than RARE of the documents, and over four times as many as the item's rarest, is no seed unless the item would keep fewer than LEAST.
 SEED, RARE, LEAST = 4, 1e-3, 8
 #: Alignment: match, mismatch and gap; score by which a passage counts as the item's, as a share of a full match.
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.5
@@ -58,7 +58,9 @@ class Items:
         times = np.repeat(counts, np.diff(self.first))
         order = np.lexsort((self.at, times, self.item))
         place = np.arange(len(order)) - np.searchsorted(self.item[order], self.item[order])
-        fine = times <= max(2, RARE * documents)
+        least = np.full(len(self.ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, self.item, times)
+        fine = times <= np.maximum(max(2, RARE * documents), 4 * least[self.item])  # copies of the item make all its seeds frequent
         fine[order[place < LEAST]] = True
         which = np.repeat(np.arange(len(self.seeds)), np.diff(self.first))[fine]
         kept, first = np.unique(which, return_index=True)
@@ -189,8 +191,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words are runs of letters and digits, lower case for A-Z. Seeds are the
     4-word n-grams of the test items (an item with fewer words is one seed) that
-    are rare among the documents, counted over all of them; an item all of whose
-    seeds are frequent keeps its 8 rarest, so a much copied item is found too.
+    are rare among the documents, counted over all of them; what is rare is
+    measured by the item's own rarest seeds too, and an item keeps 8 of them
+    at least, so a much copied item is found too.
     Around each seed the item is aligned with the passage (Smith-Waterman); score
     is the best alignment as a share of a full match, item_id the item that has
     it (the smallest of equals), first_word and last_word bound the passage.

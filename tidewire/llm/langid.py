@@ -109,8 +109,7 @@ class Model:
         order = np.argsort(-length, kind="stable")
         start, length, row = start[order], length[order], row[order]
         width, flat = self.table.shape[1], self.table.ravel()
-        after = self.table[self.root].astype(np.int64)  # where a phrase's first symbol leads
-        after = np.where(after > 0, after, self.root[:, None])
+        after = self.table[self.root].astype(np.int64)  # where a phrase's first symbol leads; an unknown symbol is a phrase (and leads nowhere)
         c = self.column[s]
         state = np.broadcast_to(self.root[:, None], (len(self.root), len(start))).copy()
         count = np.ones((len(self.root), len(start)), np.int32)
