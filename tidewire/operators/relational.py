@@ -80,3 +80,24 @@ def cluster_report(clusters: DataFrame, articles: DataFrame, headlines: int) ->
     order = F.struct((~F.col("is_centroid")).alias("a"), (-seconds).alias("b"), F.col("article_id").alias("c"), "title")
     grouped = rows.groupBy("cluster_label").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(order)).alias("t")).where("n >= 2")
     return grouped.select("cluster_label", "n", F.array_join(F.transform(F.slice("t", 1, headlines), lambda x: x["title"]), " | ").alias("headlines"))
+
+
+def range_join(days: DataFrame, rows: DataFrame, day: str, at: str, span: int) -> DataFrame:
+    """Rows in [day, day + span days) for each day: rows are exploded to the days that see them, then joined by equality."""
+    seen = rows.withColumn(day, F.explode(F.transform(F.sequence(F.lit(0), F.lit(span - 1)), lambda k: F.date_sub(F.to_date(at), k))))
+    return days.join(seen, day)
+
+
+def is_uuid(text: Column) -> Column:
+    return text.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
+
+
+def clamped(limit: int | None, default: int = 100, most: int = 500) -> int:
+    """A page size in 1..most."""
+    return min(most, max(1, default if limit is None else limit))
+
+
+def pages(page: int, per_page: int, most: int = 100) -> tuple[int, int]:
+    """Offset and limit of a page; pages count from 1."""
+    size = min(most, max(1, per_page))
+    return (max(1, page) - 1) * size, size

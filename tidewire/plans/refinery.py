@@ -1,0 +1,45 @@
+"""The refinery: clusters, verbs and entities annotate articles; nothing is deleted."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import clustering as C
+from ..operators import entities as E
+
+
+@dataclass
+class Refined:
+    """Annotation tables, and one row of statistics."""
+
+    clusters: DataFrame
+    verbs: DataFrame
+    entities: DataFrame
+    stats: DataFrame
+
+
+def process(articles: DataFrame, vectors: DataFrame, hours: int | None = 36, threshold: float = 0.78, minimum: int = 1) -> Refined:
+    """All stages over ``articles`` (id, title, summary, published_at) with ``vectors`` (id, vector).
+
+    Rows without time or vector form no window and count as unprocessed. An
+    article passes all filters if it is its cluster's centroid, its verb passes
+    and it names enough entities.
+    """
+    timed = articles.join(vectors, "id").where("published_at is not null")
+    if hours:
+        start = F.lit(timed.agg(F.min("published_at")).first()[0])
+        timed = timed.withColumn("block", C.tumbling(F.col("published_at"), start, hours))
+    else:
+        timed = timed.withColumn("block", F.lit(0).cast("long"))
+    clusters = C.cluster_vectors(timed, threshold)
+    verbs, entities = E.verb_filter(articles), E.entity_density(articles, minimum)
+    status = articles.select("id").join(clusters.select("id", "cluster_label", "is_centroid"), "id", "left").join(verbs.select("id", F.col("passed").alias("verb")), "id").join(entities.select("id", F.col("passed").alias("dense")), "id")
+    every = F.col("is_centroid") & F.col("verb") & F.col("dense")
+    stats = status.agg(
+        F.count("*").alias("total_articles"), F.count_if(every).alias("passed_all"), F.round(100.0 * F.count_if(every) / F.greatest(F.count("*"), F.lit(1)), 2).alias("pass_rate_percent"),
+        F.count_if(~every).alias("failed_any"), F.count_if(~F.col("is_centroid")).alias("duplicates"), F.count_if(~F.col("verb")).alias("weak_verbs"), F.count_if(~F.col("dense")).alias("low_density"), F.count_if(F.col("is_centroid").isNull()).alias("not_processed"),
+    )
+    return Refined(clusters, verbs, entities, stats)
