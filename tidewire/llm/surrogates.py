@@ -20,15 +20,15 @@ NAMES = {
 LATIN, CYRILLIC = "bar den fel gor hal kin lor mar nor pel ros sal tor ven wil zan".split(), "бар дол жем зор кал лев мир нор пал рос сол тур фед хол чер шат".split()
 
 _FIRST = "|".join(n for group in NAMES.values() for n in group)
-#: Kinds of entity in the order in which they are tried.
+#: Kinds of entity in the order in which they are tried. Each looks at its first character before it looks back, and takes runs at once: so time stays in proportion to the text.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9]{20,}|(?<=password=)\S+|(?<![0-9a-fA-F])[0-9a-f]{40}(?![0-9a-fA-F])",
-    "card": r"(?<![\d.])\d{4}(?:[ -]?\d{4}){3}(?!\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])|\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}(?!\d)",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
-    "person": rf"(?<![\p{{L}}\p{{N}}_])(?=\p{{Lu}})(?:(?:{_FIRST})(?:[ ]\p{{Lu}}\p{{Ll}}+)?|(?:Mr|Mrs|Ms|Dr)\.?[ ]\p{{Lu}}\p{{Ll}}+)(?![\p{{L}}\p{{N}}_])",
+    "email": r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "secret": r"(?=A)\bAKIA[0-9A-Z]{16}\b|(?=g)\bgh[pousr]_[A-Za-z0-9]{20,}|(?=s)\bsk-[A-Za-z0-9]{20,}|(?<==)(?<=password=)\S+|(?=[0-9a-f]{8})(?<![0-9a-fA-F])[0-9a-f]{40}(?![0-9a-fA-F])",
+    "card": r"(?=\d)(?<![\d.])\d{4}(?:[ -]?\d{4}){3}(?!\d)",
+    "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "phone": r"(?=[+(\d])(?:(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])|\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}(?!\d))",
+    "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
+    "person": rf"(?=[A-ZА-Я])(?<![\p{{L}}\p{{N}}_])(?:(?:{_FIRST})(?:[ ]\p{{Lu}}\p{{Ll}}+)?|(?:Mr|Mrs|Ms|Dr)\.?[ ]\p{{Lu}}\p{{Ll}}+)(?![\p{{L}}\p{{N}}_])",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -142,13 +142,14 @@ def pseudonymised(docs: DataFrame, key: str = "tidewire") -> DataFrame:
     surnames script. Null texts stay null with n_entities 0; an empty table
     stays empty; a column named n_entities is replaced.
 
-    Only distinct entities are drawn for. Texts that hold any are joined with
-    their replacements by digest, so copies share the work; all others are
-    passed on as they are, without a shuffle.
+    Texts are searched once and kept with what was found in them. Only distinct
+    entities are drawn for. Texts that hold any are joined with their
+    replacements by digest, so copies share the work; all others are passed on
+    as they are, without a shuffle.
     """
     docs = docs.drop("n_entities")
     hits = F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))
-    marked = docs.withColumn("_m", F.coalesce(hits, F.array().cast("array<string>")))
+    marked = written(docs.withColumn("_m", F.coalesce(hits, F.array().cast("array<string>"))))  # each text is searched once
     some = marked.where("size(_m) > 0").withColumn("_d", F.sha2("text", 256))
     held = written(some.select("_d", F.explode(F.array_distinct("_m")).alias("raw")).distinct())
     raws = held.select("raw").distinct()
