@@ -131,3 +131,16 @@ def test_refinery_loses_nothing(spark):
     s = out.stats.first()
     assert s.total_articles == 5 == out.verbs.count() == out.entities.count() and s.not_processed == 1
     assert process(rows.where("false"), vec).stats.first().total_articles == 0
+
+
+def test_sandbox_and_minhash(spark):
+    m = np.eye(5, dtype=bool)
+    for i, j in ((0, 1), (1, 2), (2, 3)):
+        m[i, j] = m[j, i] = True
+    assert C.sandbox_labels(m).tolist() == [0, 0, 0, 0, -1]
+    rows = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "a b c d e f g h i"), (4, "other words stand here now"), (5, ""), (6, None)], "id long, text string")
+    pairs = checkpointed(C.minhash_pairs(rows, 0.7, checkpointed))
+    assert {(r.i, r.j) for r in pairs.collect()} == {(r.i, r.j) for r in C.exact_jaccard(rows.where("text is not null"), 0.7).collect()} == {(1, 2), (1, 3), (2, 3)}
+    assert {r.id: r.label for r in C.first_come_labels(rows, pairs, checkpointed).collect()} == {1: 1, 2: 1, 3: 1, 4: -1, 5: -1, 6: -1}
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(20)], "i long, j long, sim double")
+    assert {r.label for r in C.first_come_labels(spark.range(21), chain, checkpointed).collect()} == {0}

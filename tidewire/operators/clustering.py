@@ -208,3 +208,65 @@ def create_clusterer(method: str, **options) -> Callable[[DataFrame], DataFrame]
         raise ValueError(f"unknown clustering method {method!r}; one of {sorted(known)}")
     threshold, min_size = options.get("threshold", 0.78), options.get("min_size", 2)
     return lambda rows: cluster_vectors(rows, threshold, min_size, known[method])
+
+
+def sandbox_labels(similar: np.ndarray) -> np.ndarray:
+    """The sandbox's variant: a free row joins the cluster of its first clustered neighbour, else it starts one with all its free neighbours."""
+    n, k = len(similar), 0
+    label = np.full(n, -1)
+    near = similar & ~np.eye(n, dtype=bool)
+    for i in np.argsort(-near.sum(1), kind="stable"):
+        if label[i] < 0 and near[i].any():
+            taken = np.flatnonzero(near[i] & (label >= 0))
+            if len(taken):
+                label[i] = label[taken[0]]
+            else:
+                label[near[i]] = label[i] = k
+                k += 1
+    return label
+
+
+def sandbox(rows: DataFrame, threshold: float) -> DataFrame:
+    """(block, id, cluster_label, is_centroid) of ``rows`` (id, vector, block) by ``sandbox_labels``; the first member is the centroid."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("id", kind="stable")
+        x = np.array(block["vector"].tolist(), np.float64).reshape(len(block), -1)
+        norm = np.linalg.norm(x, axis=1)
+        label = sandbox_labels(x @ x.T / np.maximum(np.outer(norm, norm), 1e-300) >= threshold)
+        first = pd.Series(label).groupby(label).cumcount() == 0
+        return pd.DataFrame({"block": block["block"].to_numpy(), "id": block["id"].to_numpy(), "cluster_label": label, "is_centroid": first.to_numpy() | (label < 0)})
+
+    return rows.select("block", "id", "vector").groupBy("block").applyInPandas(run, "block long, id long, cluster_label int, is_centroid boolean")
+
+
+def minhash_pairs(rows: DataFrame, threshold: float, keep: Callable[[DataFrame], DataFrame], k: int = 3, tables: int = 32, seed: int = 1) -> DataFrame:
+    """(i, j, sim) of ``rows`` (id, text) proposed by MinHash buckets and verified by exact Jaccard; rows without words pair with nothing.
+
+    ``keep`` cuts lineage before hashing, so the optimiser cannot hash rows that were left out.
+    """
+    from pyspark.ml.feature import HashingTF, MinHashLSH
+
+    sets = keep(rows.select("id", T.shingles("text", k).alias("shingles")).where("size(shingles) > 0"))
+    hashed = HashingTF(inputCol="shingles", outputCol="features", numFeatures=1 << 18, binary=True).transform(sets)
+    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=seed).fit(hashed)
+    pairs = model.approxSimilarityJoin(hashed, hashed, 1 - threshold + 0.05).where("datasetA.id < datasetB.id")
+    exact = pairs.select(F.col("datasetA.id").alias("i"), F.col("datasetB.id").alias("j"), V.jaccard(F.col("datasetA.shingles"), F.col("datasetB.shingles")).alias("sim"))
+    return exact.where(F.col("sim") >= threshold)
+
+
+def first_come_labels(nodes: DataFrame, pairs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, label): rows in the order of id take the label of their first earlier partner, or start one; rows alone are -1.
+
+    Each row points to its earliest partner; pointers are halved until they stand still, so rounds grow with the logarithm of the longest chain.
+    """
+    first = keep(pairs.groupBy(F.col("j").alias("id")).agg(F.min("i").alias("up")))
+    while True:
+        up = first.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        new = keep(first.join(up, "up", "left").select("id", F.coalesce("next", "up").alias("up")))
+        moved = new.join(first.withColumnRenamed("up", "old"), "id").where("up <> old").limit(1).count()
+        first = new
+        if not moved:
+            break
+    roots = first.select(F.col("up").alias("id"), "up").distinct()
+    return nodes.select("id").join(first.unionByName(roots), "id", "left").select("id", F.coalesce("up", F.lit(-1).cast("long")).alias("label"))

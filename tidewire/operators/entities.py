@@ -114,9 +114,12 @@ def _forms(lemma: str) -> list[str]:
     return [lemma, third, past, stem + "ing", double + "ed", double + "ing"]
 
 
+def verb_forms() -> dict[str, str]:
+    return {f: v for v in [*KILL_VERBS, *KEEP_VERBS] for f in _forms(v)} | IRREGULAR
+
+
 def _lemmas() -> Column:
-    forms = {f: v for v in [*KILL_VERBS, *KEEP_VERBS] for f in _forms(v)} | IRREGULAR
-    return F.create_map(*[F.lit(x) for k, v in sorted(forms.items()) for x in (k, v)])
+    return F.create_map(*[F.lit(x) for k, v in sorted(verb_forms().items()) for x in (k, v)])
 
 
 def verb_filter(articles: DataFrame) -> DataFrame:

@@ -171,7 +171,18 @@ def alg_16(s: Spark, d: str) -> DataFrame:
     return E.map_articles(text_articles(s, d), gaz)
 
 
-@query("alg_19_verb_filter")
+_FORMS = ", ".join(f"('{f}', '{v}')" for f, v in sorted(E.verb_forms().items()))
+_LIST = lambda words: ", ".join(f"'{w}'" for w in words)
+
+
+@query(
+    "alg_19_verb_filter",
+    rf"""WITH forms(f, v) AS (VALUES {_FORMS}), w AS (SELECT id, unnest(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]+')) AS w, generate_subscripts(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]+'), 1) AS k FROM text_articles),
+    hit AS (SELECT id, arg_min(v, k) FILTER (WHERE v IN ({_LIST(E.KEEP_VERBS)})) AS keep, arg_max(v, k) FILTER (WHERE v IN ({_LIST(E.KILL_VERBS)})) AS kill FROM w JOIN forms ON f = w GROUP BY id)
+    SELECT id, keep IS NOT NULL OR kill IS NULL AS passed, CASE WHEN keep IS NOT NULL THEN 'keep' WHEN kill IS NOT NULL THEN 'kill' ELSE 'neutral' END AS category, coalesce(keep, kill) AS verb,
+      CASE WHEN keep IS NOT NULL THEN 0.9 WHEN kill IS NOT NULL THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence FROM text_articles LEFT JOIN hit USING (id)""",
+    "text",
+)
 def alg_19(s: Spark, d: str) -> DataFrame:
     return E.verb_filter(text_articles(s, d))
 
@@ -212,6 +223,68 @@ def q25(s: Spark, d: str) -> DataFrame:
     return pairs.orderBy(F.desc("sim"), "i", "j").limit(50).select("i", "j", F.round("sim", 6).alias("sim"), (F.col("sim") >= 0.4).alias("would_cluster"))
 
 
+@query("alg_28_sandbox_clusters")
+def alg_28(s: Spark, d: str) -> DataFrame:
+    return C.sandbox(vectors(s, d), 0.3)
+
+
+@query("alg_04_minhash_clusters")
+def alg_04(s: Spark, d: str) -> DataFrame:
+    rows = text_articles(s, d).select("id", F.col("title").alias("text"))
+    return C.first_come_labels(rows, checkpointed(C.minhash_pairs(rows, 0.7, checkpointed)), checkpointed)
+
+
+@query("alg_35_recent_window", f"WITH r AS (SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 36 HOUR) SELECT count(*) AS n, count(*) >= 2 AS clustered FROM r JOIN embeddings ON vec_id = event_id", None)
+def alg_35(s: Spark, d: str) -> DataFrame:
+    """The last 36 hours in one block; fewer than two rows are not clustered."""
+    e = table(s, d, "events")
+    recent = e.where(F.col("ts") >= F.lit(e.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 36 HOURS")).select(F.col("event_id").alias("id"))
+    rows = vectors(s, d).join(recent, "id")
+    return C.cluster_vectors(rows, 0.3).agg(F.count("*").alias("n"), (F.count("*") >= 2).alias("clustered"))
+
+
+@query("alg_36_bulk_classification")
+def alg_36(s: Spark, d: str) -> DataFrame:
+    """The whole backlog in one job, with the histogram of labels by source."""
+    a = text_articles(s, d)
+    return a.select("id", "source").join(K.rule_labels(a).withColumnRenamed("article_id", "id"), "id").groupBy("source", "label").agg(F.count("*").alias("n"))
+
+
+@query("alg_26_integrity", "SELECT (SELECT count(*) FROM text_articles) AS articles, (SELECT count(*) FROM text_articles) AS verbs, (SELECT count(*) FROM text_articles) AS entities, (SELECT count(*) FROM embeddings) AS clustered", "text")
+def alg_26(s: Spark, d: str) -> DataFrame:
+    """Every operator returns as many rows as it got."""
+    a = text_articles(s, d)
+    n = lambda rows, name: rows.agg(F.count("*").alias(name))
+    return n(a, "articles").crossJoin(n(E.verb_filter(a), "verbs")).crossJoin(n(E.entity_density(a), "entities")).crossJoin(n(C.cluster_vectors(vectors(s, d), 0.3), "clustered"))
+
+
+@query("alg_31_retro_fix", "SELECT article_id, company_id FROM mentions WHERE NOT (match_method = 'brand' AND company_id % 2 = 0) UNION ALL SELECT article_id, company_id FROM mentions WHERE match_method = 'brand' AND company_id % 2 = 0 AND article_id % 3 = 0")
+def alg_31(s: Spark, d: str) -> DataFrame:
+    """After a rule change the matches it touches are deleted and those that still hold are put back."""
+    from ..operators import store as S
+    from .fixtures import mentions
+
+    m = mentions(s, d).select("article_id", "company_id", "match_method")
+    touched = (F.col("match_method") == "brand") & (F.col("company_id") % 2 == 0)
+    again = m.where(touched).where("article_id % 3 = 0")
+    return S.delete(m, touched).unionByName(again).select("article_id", "company_id")
+
+
+@query("q27_teacher_queue", "SELECT id FROM text_articles WHERE id NOT IN (SELECT doc_id FROM labels) AND NOT source LIKE 'src1%' ORDER BY md5(id || ':1'), id LIMIT 1", "text")
+def q27(s: Spark, d: str) -> DataFrame:
+    """The next article for the teacher."""
+    from ..operators import store as S
+
+    rest = S.not_in(text_articles(s, d).select("id", "source"), "id", table(s, d, "labels"), "doc_id").where(~F.col("source").startswith("src1"))
+    return rest.orderBy(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit("1"))), "id").limit(1).select("id")
+
+
+@query("q26_sandbox_mapper", "SELECT id, title FROM text_articles ORDER BY md5(id || ':3'), id LIMIT 5", "text")
+def q26(s: Spark, d: str) -> DataFrame:
+    """Random articles for the mapper's sandbox."""
+    return text_articles(s, d).orderBy(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit("3"))), "id").limit(5).select("id", "title")
+
+
 @query("alg_27_refinery")
 def alg_27(s: Spark, d: str) -> DataFrame:
     from .refinery import process
