@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .graph import components
+from .membership import bit_table, split
 from .scratch import written
 
 BANDS, ROWS, BITS = 44, 6, 1024
@@ -100,7 +101,8 @@ def _confirm(percent: int):
 def _confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The rows of ``pairs`` (u, v) whose full shingle sets are similar enough."""
     ids = written(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    texts, _ = split(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", bit_table(ids, "id"))
+    texts = texts.join(ids, "id", "left_semi")  # shuffles the few texts that may be needed
     sets = written(texts.mapInArrow(_sets(n), "id long, items binary").dropDuplicates(["id"]))
     left = written(pairs.join(sets.select(F.col("id").alias("v"), F.col("items").alias("y")), "v"))
     both = left.join(sets.select(F.col("id").alias("u"), F.col("items").alias("x")), "u").select("u", "v", "x", "y")
@@ -176,11 +178,11 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     found = near_duplicates(docs, n, percent)
     tally = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times")))
-    single = docs.join(tally.where("kept and times = 1").select("doc_id"), "doc_id", "left_semi")
-    many = tally.where("kept and times > 1").select("doc_id")
-    single = single.unionByName(docs.where("doc_id is null"))
-    if many.isEmpty():
-        return single
-    several = docs.join(many, "doc_id", "left_semi")
-    first = several.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_r"))
-    return single.unionByName(first.select(*[F.col("doc_id") if c == "doc_id" else F.col("_r")[c].alias(c) for c in docs.columns]))
+    special = written(tally.where("not kept or times > 1"))
+    rest, sure = split(docs, "doc_id", bit_table(special, "doc_id"))  # what surely stays is not shuffled
+    rest = rest.join(special.select("doc_id", F.col("kept").alias("_kept")), "doc_id", "left")
+    out = sure.unionByName(rest.where("_kept is null").select(*docs.columns))
+    if special.where("kept").isEmpty():
+        return out
+    first = rest.where("_kept").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_r"))
+    return out.unionByName(first.select(*[F.col("doc_id") if c == "doc_id" else F.col("_r")[c].alias(c) for c in docs.columns]))
