@@ -125,13 +125,23 @@ def greedy_by_edges(nodes: DataFrame, edges: DataFrame, min_size: int, keep: Cal
 
 
 def exact_jaccard(rows: DataFrame, threshold: float, k: int = 3) -> DataFrame:
-    """(i, j, sim) of ``rows`` (id, text) by shared k-word shingles; empty texts have none in common."""
+    """(i, j, sim) of ``rows`` (id, text) by shared k-word shingles; empty texts have none in common.
+
+    Sets that are similar enough share one of their rarest n - ceil(threshold *
+    n) + 1 shingles (prefix filter), so only those are joined: frequent shingles
+    make no pairs. Pairs are then measured on the full sets.
+    """
     sets = rows.select("id", F.explode(T.shingles("text", k)).alias("s"))
-    sizes = sets.groupBy("id").agg(F.count("*").alias("n"))
-    a, b = sets.select(F.col("id").alias("i"), "s"), sets.select(F.col("id").alias("j"), "s")
-    shared = a.join(b, "s").where("i < j").groupBy("i", "j").agg(F.count("*").alias("m"))
-    joined = shared.join(sizes.select(F.col("id").alias("i"), F.col("n").alias("ni")), "i").join(sizes.select(F.col("id").alias("j"), F.col("n").alias("nj")), "j")
-    return joined.select("i", "j", (F.col("m") / (F.col("ni") + F.col("nj") - F.col("m"))).alias("sim")).where(F.col("sim") >= threshold)
+    frequency = sets.groupBy("s").agg(F.count("*").alias("df"))
+    ordered = sets.join(frequency, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))
+    ordered = ordered.select("id", F.transform("o", lambda x: x["s"]).alias("o"), F.size("o").alias("n"))
+    short = F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    prefix = ordered.select("id", "n", F.explode(short).alias("s"))
+    a, b = (prefix.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), "s") for c in "ij")
+    near = F.least("ni", "nj") >= F.greatest("ni", "nj") * threshold - 1e-9
+    pairs = a.join(b, "s").where("i < j").where(near).select("i", "j").distinct()
+    full = pairs.join(ordered.select(F.col("id").alias("i"), F.col("o").alias("x")), "i").join(ordered.select(F.col("id").alias("j"), F.col("o").alias("y")), "j")
+    return full.select("i", "j", V.jaccard(F.col("x"), F.col("y")).alias("sim")).where(F.col("sim") >= threshold)
 
 
 def tfidf(rows: DataFrame, features: int = 5000, stop: list[str] | None = None) -> DataFrame:
