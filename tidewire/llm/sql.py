@@ -18,4 +18,19 @@ draws AS (
 SELECT doc_id, source, unnest(range(0, CAST(n AS BIGINT))) AS replica, text FROM draws
 """
 
-ORACLES: dict[str, str] = {"op5_poisson_mix": POISSON_MIX}
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, unnest(CASE len(w) WHEN 0 THEN [] WHEN 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+m AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS m FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT i, j FROM m JOIN n x ON x.doc_id = i JOIN n y ON y.doc_id = j WHERE 100 * m >= 80 * (x.n + y.n - m)),
+ways AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e),
+r AS (SELECT DISTINCT i, i AS j FROM ways UNION SELECT r.i, b.j FROM r JOIN ways b ON b.i = r.j),
+c AS (SELECT i, min(j) AS component_id FROM r GROUP BY i)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.i = doc_id
+"""
+
+ORACLES: dict[str, str] = {"op5_poisson_mix": POISSON_MIX, "op8_minmax_near_duplicates": NEAR_DUPLICATES}
