@@ -70,9 +70,8 @@ def _surname(normal: Column, noise: Column) -> Column:
     return F.initcap(F.when(normal.rlike(r"\p{IsCyrillic}"), F.concat(made(CYRILLIC), F.when(normal.endswith("а"), F.lit("ова")).otherwise(F.lit("ов")))).otherwise(made(LATIN)))
 
 
-def _candidate(kind: Column, normal: Column, key: str, attempt: Column) -> Column:
-    """A surrogate in normal form."""
-    noise = _bytes(key, kind, normal, attempt.cast("string"))
+def _candidate(kind: Column, normal: Column, noise: Column) -> Column:
+    """A surrogate in normal form, made of the bytes ``noise``."""
     digits = _alike(normal, noise)
     octet = lambda k: (F.pmod(F.element_at(noise, k), F.lit(254)) + 1).cast("string")
     local = _alike(F.substring_index(normal, "@", 1), noise)
@@ -83,7 +82,7 @@ def _candidate(kind: Column, normal: Column, key: str, attempt: Column) -> Colum
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(digits, 2, 8)))  # numbers from 900 on are never issued
         .when(kind == "ip", F.concat_ws(".", octet(1), octet(2), octet(3), octet(4)))
         .when(kind == "surname", _surname(normal, noise))
-        .when((kind == "secret") & normal.rlike("^[0-9a-f]{33,64}$"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), normal, attempt.cast("string")), 256), F.lit(1), F.length(normal)))
+        .when((kind == "secret") & normal.rlike("^[0-9a-f]{33,64}$"), F.substring(F.array_join(F.transform(noise, lambda v: F.lower(F.hex(F.pmod(v, F.lit(16))))), ""), F.lit(1), F.length(normal)))
         .otherwise(digits)
     )
 
@@ -98,7 +97,9 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     entities = written(entities)
     pending, done, attempt = entities, None, 0
     while not pending.isEmpty():
-        drawn = written(pending.withColumn("surrogate", _candidate(F.col("kind"), F.col("normal"), key, F.lit(attempt))))
+        # The bytes are written first: inlined, they would be drawn anew for every character.
+        drawn = written(pending.withColumn("_noise", _bytes(key, F.col("kind"), F.col("normal"), F.lit(str(attempt)))))
+        drawn = written(drawn.withColumn("surrogate", _candidate(F.col("kind"), F.col("normal"), F.col("_noise"))).drop("_noise"))
         real = entities.select("kind", F.col("normal").alias("taken"))
         if done is not None:
             real = real.unionByName(done.select("kind", F.lower("surrogate").alias("taken")))
