@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,11 +55,19 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda a plain expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def shingles(text: Column | str, k: int = 3) -> Column:
     """Distinct k-word shingles; a shorter text is one."""
-    w = tokens(text)
-    many = F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) <= k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(many))
+
+    def of(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) <= k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(many))
+
+    return let(tokens(text), of)
 
 
 def ticker_list(text: Column | str) -> Column:

@@ -78,7 +78,7 @@ def map_articles(articles: DataFrame, patterns: DataFrame) -> DataFrame:
         return F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(none)
 
     runs = F.flatten(F.array(none, *map(of, lengths)))
-    grams = words.select("article_id", F.explode(F.array_distinct(runs)).alias("_key")).distinct()
+    grams = words.select("article_id", F.explode(F.array_distinct(runs)).alias("_key"))
     candidates = grams.join(keyed, "_key").join(rows, "article_id")
     hits = candidates.withColumn("_in_t", _found(F.col("_t"))).withColumn("_in_s", _found(F.col("_s"))).where("_in_t or _in_s")
     best = F.min(F.struct((-F.col("confidence")).alias("c"), "priority", "method", "pattern")).alias("b")
@@ -127,7 +127,8 @@ def verb_filter(articles: DataFrame) -> DataFrame:
 
     A stand-in for a tagger: lemmas come from a list of forms made by rule.
     """
-    lemma = F.filter(F.transform(T.tokens(F.coalesce("title", F.lit(""))), lambda w: F.element_at(_lemmas(), w)), lambda x: x.isNotNull())
+    lemmas = _lemmas()
+    lemma = F.filter(F.transform(T.tokens(F.coalesce("title", F.lit(""))), lambda w: F.element_at(lemmas, w)), lambda x: x.isNotNull())
     keep = F.get(F.filter("_l", lambda x: x.isin(KEEP_VERBS)), F.lit(0))
     kills = F.filter("_l", lambda x: x.isin(KILL_VERBS))
     rows = articles.withColumn("_l", lemma).select("id", keep.alias("_k"), F.when(F.size(kills) > 0, F.element_at(kills, -1)).alias("_x"))
