@@ -13,7 +13,7 @@ from tidewire.operators import entities as E
 from tidewire.operators import relational as R
 from tidewire.operators import store as S
 from tidewire.plans.algorithms import checkpointed
-from tidewire.plans.refinery import process
+from tidewire.plans.annotation import process
 
 
 def test_every_query_has_a_stable_name_and_sql_for_known_queries():
@@ -124,7 +124,7 @@ def test_filters_and_rules(spark):
     assert R.by_flags(flags).count() == 2 and R.by_flags(flags, classified=True, mapped=False).count() == 1
 
 
-def test_refinery_loses_nothing(spark):
+def test_annotation_loses_nothing(spark):
     rows = spark.createDataFrame([(i, f"Firm {i} buys", "$5 million" if i % 2 else None, None if i == 4 else f"2024-01-0{i + 1}") for i in range(5)], "id long, title string, summary string, published_at string").withColumn("published_at", F.to_timestamp("published_at"))
     vec = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "id long, vector array<double>")
     out = process(rows, vec)

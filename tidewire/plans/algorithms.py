@@ -285,8 +285,8 @@ def q26(s: Spark, d: str) -> DataFrame:
     return text_articles(s, d).orderBy(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit("3"))), "id").limit(5).select("id", "title")
 
 
-@query("alg_27_refinery")
+@query("alg_27_annotation")
 def alg_27(s: Spark, d: str) -> DataFrame:
-    from .refinery import process
+    from .annotation import process
 
     return process(text_articles(s, d), table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), threshold=0.3).stats

@@ -1,4 +1,4 @@
-"""The refinery: clusters, verbs and entities annotate articles; nothing is deleted."""
+"""All stages: clusters, verbs and entities annotate articles; nothing is deleted."""
 
 from __future__ import annotations
 
