@@ -54,3 +54,17 @@ def test_edits_copies_and_odd_rows(spark):
     assert all(got[100 + i] == (True, 7) for i in range(300))
     assert contamination(docs, bench.where("false")).where("contaminated").count() == 0
     assert contamination(docs.where("false"), bench).count() == 0
+
+
+def test_much_copied_edited_and_partial_copies_without_an_intact_one(spark):
+    """Seeds that occur in no document take no frequent one's place; one rare stretch does not hide the others."""
+    item = [f"word{i}" for i in range(38)]
+    edited = [w if i not in (9, 19, 29) else f"changed{i}" for i, w in enumerate(item)]
+    part = [f"part{i}" for i in range(40)]
+    docs = [(i, f"title{i} " + " ".join(edited)) for i in range(1000)] + [(1000 + i, " ".join(part[:24]) + f" tail{i}") for i in range(1000)]
+    docs += [(2000, "long " * 30000 + " ".join(edited) + " end" * 30000), (2001, " ".join(part[30:]) + " only the rare end"), (2002, " ".join(edited[:8]) + " and nothing more")]
+    docs += [(3000 + i, f"clean text {i} about other things") for i in range(7000)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(part))], "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.item_id) for r in contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert {i for i, (c, _) in got.items() if c} == {*range(2001)}
+    assert all(got[i] == (True, 1) for i in range(1000)) and all(got[1000 + i] == (True, 2) for i in range(1000)) and got[2000] == (True, 1)

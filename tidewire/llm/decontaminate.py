@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from . import textkit as tk
 from .scratch import written
 
-#: Words of a seed; a seed in more than RARE of the documents, and over four times as many as the item's rarest, is no seed unless the item would keep fewer than LEAST.
+#: Words of a seed; a seed in more than RARE of the documents, and over four times as many as the item's rarest that occurs, is frequent unless the item would have fewer than LEAST others.
 SEED, RARE, LEAST = 4, 1e-3, 8
 #: Alignment: match, mismatch and gap; score by which a passage counts as the item's, as a share of a full match.
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.5
@@ -32,6 +32,7 @@ class Items:
     first: np.ndarray  # of each seed, where its places begin
     item: np.ndarray  # of each place
     at: np.ndarray
+    rare: np.ndarray  # of each place, whether its seed is
 
     @staticmethod
     def of(ids: list[int], texts: list[str], n: int = SEED) -> Items:
@@ -46,7 +47,7 @@ class Items:
         gram, item, at = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((tk.U, grams), (np.int64, item), (np.int64, at)))
         order = np.argsort(gram, kind="stable")
         seeds, first = np.unique(gram[order], return_index=True)
-        return Items(np.array(ids, np.int64), tokens, seeds, np.append(first, len(gram)), item[order], at[order])
+        return Items(np.array(ids, np.int64), tokens, seeds, np.append(first, len(gram)), item[order], at[order], np.ones(len(gram), bool))
 
     @property
     def sizes(self) -> list[int]:
@@ -54,17 +55,18 @@ class Items:
         return sorted({min(SEED, len(t)) for t in self.tokens if len(t)})
 
     def keep(self, counts: np.ndarray, documents: int) -> Items:
-        """With the rare seeds only; an item that has few of them keeps its rarest."""
+        """With the seeds that occur, told apart by how rare they are; an item that has few rare ones counts its rarest as such."""
         times = np.repeat(counts, np.diff(self.first))
-        order = np.lexsort((self.at, times, self.item))
-        place = np.arange(len(order)) - np.searchsorted(self.item[order], self.item[order])
-        least = np.full(len(self.ids), np.iinfo(np.int64).max)
-        np.minimum.at(least, self.item, times)
-        fine = times <= np.maximum(max(2, RARE * documents), 4 * least[self.item])  # copies of the item make all its seeds frequent
-        fine[order[place < LEAST]] = True
-        which = np.repeat(np.arange(len(self.seeds)), np.diff(self.first))[fine]
+        which = np.repeat(np.arange(len(self.seeds)), np.diff(self.first))[times > 0]
+        item, at, times = self.item[times > 0], self.at[times > 0], times[times > 0]
+        order = np.lexsort((at, times, item))
+        place = np.arange(len(order)) - np.searchsorted(item[order], item[order])
+        least = np.full(len(self.ids), np.iinfo(np.int64).max // 4)
+        np.minimum.at(least, item, times)
+        rare = times <= np.maximum(max(2, RARE * documents), 4 * least[item])  # copies of the item make all its seeds frequent
+        rare[order[place < LEAST]] = True
         kept, first = np.unique(which, return_index=True)
-        return Items(self.ids, self.tokens, self.seeds[kept], np.append(first, len(which)), self.item[fine], self.at[fine])
+        return Items(self.ids, self.tokens, self.seeds[kept], np.append(first, len(which)), item, at, rare)
 
 
 class Finder:
@@ -89,7 +91,10 @@ class Finder:
         return np.concatenate(place), np.concatenate(seed)
 
     def passages(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Row, item, first and last word of each passage to align: one for each item and band of diagonals with a seed."""
+        """Row, item, first and last word of each passage to align: one for each item and band of diagonals with a seed.
+
+        One without a rare seed counts only if half of the item's words occur in it, without which no alignment reaches THRESHOLD.
+        """
         place, seed = self.hits(h, row)
         x = self.items
         many = x.first[seed + 1] - x.first[seed]
@@ -99,14 +104,31 @@ class Finder:
         starts = np.searchsorted(row, row[place])
         width = np.maximum(16, size // 2)
         band = (place - starts - x.at[entry]) // width  # of where the item would begin
-        found = np.unique(np.column_stack([row[place], item, band]), axis=0) if len(place) else np.zeros((0, 3), np.int64)
+        found, which = np.unique(np.column_stack([row[place], item, band]), axis=0, return_inverse=True) if len(place) else (np.zeros((0, 3), np.int64), place)
         row_of, item, band = found.T
+        rare = np.zeros(len(found), bool)
+        rare[which.ravel()[x.rare[entry]]] = True
         size = np.array([len(t) for t in x.tokens], np.int64)[item] if len(item) else item
         width = np.maximum(16, size // 2)
         pad = np.maximum(8, size // 4)
         base, end = np.searchsorted(row, row_of), np.searchsorted(row, row_of, "right")
         lo = np.clip(base + band * width - pad, base, end)
-        return row_of, item, lo, np.clip(base + (band + 1) * width + size + pad, lo, end)
+        hi = np.clip(base + (band + 1) * width + size + pad, lo, end)
+        fine = rare.copy()
+        doubtful = np.flatnonzero(~rare)
+        for part in np.array_split(doubtful, 1 + int((size + hi - lo)[doubtful].sum()) // (1 << 21)):
+            fine[part] = self._common(h, item[part], lo[part], hi[part]) >= THRESHOLD * size[part]
+        return row_of[fine], item[fine], lo[fine], hi[fine]
+
+    def _common(self, h: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """How many words of each item occur in its passage."""
+        if not len(item):
+            return np.zeros(0, np.int64)
+        size, own = np.array([len(self.items.tokens[k]) for k in item], np.int64), tk.mix(np.arange(1, len(item) + 1).astype(tk.U))
+        words = np.concatenate([self.items.tokens[k] for k in item]) ^ np.repeat(own, size)
+        long = hi - lo
+        there = h[np.repeat(lo - (np.cumsum(long) - long), long) + np.arange(long.sum())] ^ np.repeat(own, long)
+        return np.bincount(np.repeat(np.arange(len(item)), size), np.isin(words, there), len(item))
 
 
 def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
@@ -190,10 +212,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All columns of ``docs`` (text, any further columns) with item_id, score, first_word, last_word, contaminated.
 
     Words are runs of letters and digits, lower case for A-Z. Seeds are the
-    4-word n-grams of the test items (an item with fewer words is one seed) that
-    are rare among the documents, counted over all of them; what is rare is
-    measured by the item's own rarest seeds too, and an item keeps 8 of them
-    at least, so a much copied item is found too.
+    4-word n-grams of the test items (an item with fewer words is one seed).
+    Which are rare is counted over all documents and measured by the item's own
+    rarest seeds that occur, of which 8 are rare at least. A passage with
+    frequent seeds only is left out if it lacks half of the item's words, since
+    its score is then below 0.5; so a much copied item, or edited or partial
+    copy of one, is found too.
     Around each seed the item is aligned with the passage (Smith-Waterman); score
     is the best alignment as a share of a full match, item_id the item that has
     it (the smallest of equals), first_word and last_word bound the passage.
