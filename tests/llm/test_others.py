@@ -103,6 +103,31 @@ def test_surrogates_stay_distinct(spark):
     assert len(got) == 45 == len({r.surrogate for r in got}) and not {r.surrogate for r in got} & {r.normal for r in got}
 
 
+def test_surrogates_of_crowded_kinds(spark):
+    """More entities than the usual space holds, and secrets without a Latin letter or digit: the rounds end, and nothing stays."""
+    import signal
+
+    def late(*_):
+        raise TimeoutError("the rounds do not end")
+
+    letters = "abcdefghijklmnop"
+    surname = lambda i: "Q" + "".join(letters[i >> s & 15] for s in (12, 8, 4, 0))
+    texts = [f"Mr. {surname(i)} left" for i in range(5000)] + [f"write to {letters[i % 16]}@host{i}.com" for i in range(200)]
+    texts += ["password=****", "password=пароль", "password=A"] + [f"password={c}" for c in "0123456789"] + [f"call +1{i:06d} now" for i in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    old = signal.signal(signal.SIGALRM, late)
+    signal.alarm(150)
+    try:
+        got = {r.doc_id: r.text for r in pseudonymised(docs).collect()}
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, old)
+    assert len({got[i].split()[1] for i in range(5000)}) == 5000 and not {got[i].split()[1].lower() for i in range(5000)} & {surname(i).lower() for i in range(5000)}
+    assert len({got[i] for i in range(5000, 5200)}) == 200
+    secrets = [got[i].split("=")[1] for i in range(5200, 5213)]
+    assert len(set(secrets)) == 13 and not set(secrets) & {"A", *"0123456789"} and "*" not in secrets[0] and not set(secrets[1]) & set("пароль")
+
+
 def test_licences(spark, sf):
     files = [("a/LICENSE", "Released under the MIT License."), ("a/b/x.py", "code only"), ("a/b/y.py", "# Licensed under the Apache License, Version 2.0.\ncode " + "more words " * 99), ("c/z.py", None), ("c/w", ""), (None, "Released under the MIT License."), ("top", "text"), ("a/b/c/LICENSE", "Licensed under CC BY-NC 4.0."), ("a/b/c/d/e.txt", "long " * 20000), ("a/b/x.py", "code only")]
     docs = spark.createDataFrame(files, "path string, text string").withColumn("via", F.lit(1))

@@ -18,6 +18,8 @@ NAMES = {
 }
 # Syllables of made-up surnames.
 LATIN, CYRILLIC = "bar den fel gor hal kin lor mar nor pel ros sal tor ven wil zan".split(), "бар дол жем зор кал лев мир нор пал рос сол тур фед хол чер шат".split()
+#: Rounds of draws in the usual space; every one after them draws from one longer by a character, digit, syllable or octet.
+ROUNDS = 3
 
 _FIRST = "|".join(n for group in NAMES.values() for n in group)
 #: Kinds of entity in the order in which they are tried. Each looks at its first character before it looks back, and takes runs at once: so time stays in proportion to the text.
@@ -45,12 +47,13 @@ def _chars(text: Column) -> Column:
 
 
 def _alike(text: Column, noise: Column) -> Column:
-    """``text`` with letters and digits exchanged for others of their class, all else as it is."""
+    """``text`` with letters and digits exchanged for others of their class (small letters for all beyond ASCII), all else as it is unless there is nothing else."""
+    bare = ~text.rlike(r"[A-Za-z0-9]|[^\x00-\x7f]")
 
     def one(c: Column, i: Column) -> Column:
         v = F.element_at(noise, F.pmod(i, F.lit(128)) + 1)
         letter = lambda base: F.char((F.lit(base) + F.pmod(v, F.lit(26))).cast("long"))
-        return F.when(c.rlike("^[0-9]$"), F.pmod(v, F.lit(10)).cast("string")).when(c.rlike("^[a-z]$"), letter(97)).when(c.rlike("^[A-Z]$"), letter(65)).otherwise(c)
+        return F.when(c.rlike("^[0-9]$"), F.pmod(v, F.lit(10)).cast("string")).when(c.rlike("^[a-z]$"), letter(97)).when(c.rlike("^[A-Z]$"), letter(65)).when(bare | c.rlike(r"^[^\x00-\x7f]$"), letter(97)).otherwise(c)
 
     return F.array_join(F.transform(_chars(text), one), "")
 
@@ -65,25 +68,30 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(-total, F.lit(10)).cast("string")
 
 
-def _surname(normal: Column, noise: Column) -> Column:
-    made = lambda syllables: F.concat(*[F.element_at(F.array(*map(F.lit, syllables)), F.pmod(F.element_at(noise, k), F.lit(16)) + 1) for k in (1, 2, 3)])
+def _surname(normal: Column, noise: Column, more: int = 0) -> Column:
+    made = lambda syllables: F.concat(*[F.element_at(F.array(*map(F.lit, syllables)), F.pmod(F.element_at(noise, (k - 1) % 128 + 1), F.lit(16)) + 1) for k in range(1, 4 + more)])
     return F.initcap(F.when(normal.rlike(r"\p{IsCyrillic}"), F.concat(made(CYRILLIC), F.when(normal.endswith("а"), F.lit("ова")).otherwise(F.lit("ов")))).otherwise(made(LATIN)))
 
 
-def _candidate(kind: Column, normal: Column, noise: Column) -> Column:
-    """A surrogate in normal form, made of the bytes ``noise``."""
+def _candidate(kind: Column, normal: Column, noise: Column, more: int = 0) -> Column:
+    """A surrogate in normal form, made of the bytes ``noise``, and ``more`` units longer than usual."""
+    tail = [F.element_at(noise, 127 - k % 126) for k in range(more)]
+    letters = F.concat(F.lit(""), *[F.char((F.lit(97) + F.pmod(v, F.lit(26))).cast("long")) for v in tail])
+    figures = F.concat(F.lit(""), *[F.pmod(v, F.lit(10)).cast("string") for v in tail])
     digits = _alike(normal, noise)
     octet = lambda k: (F.pmod(F.element_at(noise, k), F.lit(254)) + 1).cast("string")
-    local = _alike(F.substring_index(normal, "@", 1), noise)
+    local = F.concat(_alike(F.substring_index(normal, "@", 1), noise), letters)
     host = F.element_at(F.array(*map(F.lit, ["example.com", "example.net", "example.org"])), F.pmod(F.element_at(noise, 128), F.lit(3)) + 1)
+    card = F.concat(F.substring(normal, 1, 1), F.substring(digits, 2, 14))
+    hexadecimal = F.substring(F.array_join(F.transform(noise, lambda v: F.lower(F.hex(F.pmod(v, F.lit(16))))), ""), F.lit(1), F.length(normal))
     return (
         F.when(kind == "email", F.concat(local, F.lit("@"), host))
-        .when(kind == "card", F.concat(F.substring(normal, 1, 1), F.substring(digits, 2, 14), _luhn(F.concat(F.substring(normal, 1, 1), F.substring(digits, 2, 14)))))
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(digits, 2, 8)))  # numbers from 900 on are never issued
-        .when(kind == "ip", F.concat_ws(".", octet(1), octet(2), octet(3), octet(4)))
-        .when(kind == "surname", _surname(normal, noise))
-        .when((kind == "secret") & normal.rlike("^[0-9a-f]{33,64}$"), F.substring(F.array_join(F.transform(noise, lambda v: F.lower(F.hex(F.pmod(v, F.lit(16))))), ""), F.lit(1), F.length(normal)))
-        .otherwise(digits)
+        .when(kind == "card", F.concat(card, _luhn(card), figures))
+        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(digits, 2, 8), figures))  # numbers from 900 on are never issued
+        .when(kind == "ip", F.concat_ws(".", *[octet(k % 128 + 1) for k in range(4 + more)]))
+        .when(kind == "surname", _surname(normal, noise, more))
+        .when((kind == "secret") & normal.rlike("^[0-9a-f]{33,64}$"), hexadecimal)
+        .otherwise(F.concat(digits, F.when(kind == "secret", letters).otherwise(figures)))
     )
 
 
@@ -92,15 +100,17 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
 
     Each round draws keyed candidates; of entities that drew alike the smallest
     keeps the draw, unless it was taken before or occurs in the data; the others
-    draw again. The draw depends on key, kind, entity and round only.
+    draw again. The draw depends on key, kind, entity and round only. After
+    ROUNDS rounds the draws grow longer from one to the next, so the space holds
+    any number of entities and the rounds end.
     """
     entities = written(entities)
     pending, done, attempt = entities, None, 0
     while not pending.isEmpty():
         # The bytes are written first: inlined, they would be drawn anew for every character.
         drawn = written(pending.withColumn("_noise", _bytes(key, F.col("kind"), F.col("normal"), F.lit(str(attempt)))))
-        drawn = written(drawn.withColumn("surrogate", _candidate(F.col("kind"), F.col("normal"), F.col("_noise"))).drop("_noise"))
-        real = entities.select("kind", F.col("normal").alias("taken"))
+        drawn = written(drawn.withColumn("surrogate", _candidate(F.col("kind"), F.col("normal"), F.col("_noise"), max(0, attempt + 1 - ROUNDS))).drop("_noise"))
+        real = entities.select("kind", F.lower("normal").alias("taken")).distinct()
         if done is not None:
             real = real.unionByName(done.select("kind", F.lower("surrogate").alias("taken")))
         held = drawn.withColumn("taken", F.lower("surrogate"))
@@ -127,7 +137,8 @@ def _rendered(raw: Column, kind: Column, surrogate: Column) -> Column:
     digits = F.array_join(
         F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(surrogate, F.length(F.regexp_replace(F.substring(raw, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c)), ""
     )
-    return F.when(kind.isin("card", "ssn", "phone"), digits).when((kind == "email") & (raw == F.upper(raw)), F.upper(surrogate)).otherwise(surrogate)
+    rest = F.substring(surrogate, F.length(F.regexp_replace(raw, "[^0-9]", "")) + 1, F.length(surrogate))
+    return F.when(kind.isin("card", "ssn", "phone"), F.concat(digits, rest)).when((kind == "email") & (raw == F.upper(raw)), F.upper(surrogate)).otherwise(surrogate)
 
 
 def pseudonymised(docs: DataFrame, key: str = "tidewire") -> DataFrame:
