@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 
-#: Rows of the sample that fits the codebooks and their rounds; queries sent to the executors at a time; centroids of a half at most.
-FIT_ROWS, ROUNDS, BLOCK, MOST_CENTROIDS = 16_000, 12, 8192, 1024
+#: Rows of the sample that fits the codebooks and their rounds; queries sent to the executors at a time; centroids of a half.
+FIT_ROWS, ROUNDS, BLOCK, LEAST_CENTROIDS, MOST_CENTROIDS = 16_000, 12, 8192, 64, 1024
 #: Share of the sample's true neighbours that the visited cells shall hold, and queries of the sample that measure it.
 TARGET, PROBES = 0.95, 256
 #: Cells of a side of a tile; pairs that are kept before they are merged.
-TILE, PENDING = 8, 1 << 20
+TILE, PENDING = 16, 1 << 20
 
 
 def usable(column: str) -> str:
@@ -44,8 +44,11 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def centroids_for(rows: int) -> int:
-    """Centroids of a half: a power of two, about 1.5 times the root of the row count, so cells hold few rows until MOST_CENTROIDS."""
-    return int(min(MOST_CENTROIDS, 1 << max(1, int(np.ceil(np.log2(max(2, rows)) / 2 + 0.3)))))
+    """Centroids of a half: a power of two, about 0.6 times the root of the row count, between LEAST_CENTROIDS and MOST_CENTROIDS.
+
+    More of them make the share to visit smaller and the walk through the cells longer.
+    """
+    return int(np.clip(1 << int(round(np.log2(max(2, rows)) / 2 - 0.7)), LEAST_CENTROIDS, MOST_CENTROIDS))
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 3) -> np.ndarray:
