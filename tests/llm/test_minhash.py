@@ -57,3 +57,47 @@ def test_empty_and_all_null(spark, column):
     assert near_duplicates(docs.where("false")).count() == 0
     null = docs.withColumn(column, F.lit(None).cast(docs.schema[column].dataType))
     assert [r.kept for r in near_duplicates(null).collect()] == [True]
+
+
+def rows_brute(rows, n, percent):
+    """Components of rows (doc_id, text) that are linked by their texts or their ids, and the class of each row by texts alone."""
+    texts = brute(list(enumerate(t for _, t in rows)), n, percent)
+    cls = [texts[k][1] for k in range(len(rows))]
+    group = list(cls)
+    for _ in rows:
+        for a, (i, _) in enumerate(rows):
+            for b, (j, _) in enumerate(rows):
+                if i is not None and j is not None and (i == j or cls[a] == cls[b]):
+                    group[a] = group[b] = min(group[a], group[b])
+    return [(i, i if i is None else min(j for b, (j, _) in enumerate(rows) if j is not None and group[b] == group[a])) for a, (i, _) in enumerate(rows)], cls
+
+
+def test_ids_with_different_texts(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(50)) for c in "xyz")
+    rows = [(3, x), (5, x), (5, y), (7, y + " tail"), (8, z), (8, ""), (9, z), (9, None), (2, "only"), (None, x)]
+    docs = spark.createDataFrame([(*r, {"k": k}, "w") for k, r in enumerate(rows)], "doc_id long, text string, m map<string,int>, `_p` string").withColumns({c: F.lit(1) for c in ("_word", "_bits", "_stays", "g", "node", "_row", "p", "bands", "row", "many")})
+    want, _ = rows_brute(rows, 2, 80)
+    got = near_duplicates(docs, 2, 80).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(want, key=str)
+    assert all(r.component_id == 3 for r in got if r.doc_id in (5, 7))
+    kept = one_of_each(docs, 2, 80)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text, r.m["k"]) for r in kept.collect()), key=str) == sorted([(3, x, 0), (5, y, 2), (8, z, 4), (8, "", 5), (9, None, 7), (2, "only", 8), (None, x, 9)], key=str)
+
+
+def test_random_repeats_of_ids(spark):
+    import random
+
+    rng = random.Random(1)
+    pool = [" ".join(f"w{rng.randrange(30)}" for _ in range(rng.choice([1, 2, 40]))) for _ in range(12)]
+    rows = [(rng.randrange(25), rng.choice(pool) + rng.choice(["", " w1"])) for _ in range(45)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    want, cls = rows_brute(rows, 2, 80)
+    assert sorted((r.doc_id, r.component_id) for r in near_duplicates(docs, 2, 80).collect()) == sorted(want)
+    kept = one_of_each(docs, 2, 80).collect()
+    groups = {}
+    for (i, t), c in zip(rows, cls):
+        groups.setdefault(c, []).append((i, t))
+    assert len(kept) == len(groups)
+    assert sorted(r.doc_id for r in kept) == sorted(min(i for i, _ in g) for g in groups.values())
+    assert all(any((r.doc_id, r.text) in g for g in groups.values()) for r in kept)

@@ -1,11 +1,15 @@
-"""A filter of bounded size that tells which rows may be in a set of ids, so that only those are shuffled."""
+"""A filter of bounded size that tells which rows may be in a set of ids, so that only those are shuffled.
+
+It only saves work: beyond some ten million ids most rows may be in the set, and
+the exact join that follows shuffles them, once at most for each row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import unused, written
 
 #: Bits of the filter: 2 ** 20 words of 64, 16 MB, however many ids there are.
 BITS = 1 << 26
@@ -23,8 +27,10 @@ def split(rows: DataFrame, column: str, table: DataFrame) -> tuple[DataFrame, Da
 
     Rows without an id are never in the set. The broadcast is bounded by BITS.
     """
+    bit, word, bits = unused(rows.columns, "_p", "_word", "_bits")
     place = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BITS))
-    marked = rows.withColumn("_p", F.when(F.col(column).isNotNull(), place)).withColumn("_word", F.expr("_p div 64"))
-    marked = marked.join(F.broadcast(table), "_word", "left")
-    may = F.coalesce(F.expr("getbit(_bits, cast(_p % 64 as int)) = 1"), F.lit(False))
-    return marked.where(may).select(*rows.columns), marked.where(~may).select(*rows.columns)
+    marked = rows.withColumn(bit, F.when(F.col(column).isNotNull(), place)).withColumn(word, F.expr(f"{bit} div 64"))
+    marked = marked.join(F.broadcast(table.select(F.col("_word").alias(word), F.col("_bits").alias(bits))), word, "left")
+    may = F.coalesce(F.expr(f"getbit({bits}, cast({bit} % 64 as int)) = 1"), F.lit(False))
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    return marked.where(may).select(*own), marked.where(~may).select(*own)
