@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from . import textkit as tk
-from .scratch import written
+from .scratch import unused, written
 
 #: Words of a seed; a seed in more than RARE of the documents, and over four times as many as the item's rarest that occurs, is frequent unless the item would have fewer than LEAST others.
 SEED, RARE, LEAST = 4, 1e-3, 8
@@ -179,8 +179,8 @@ def _seed_counts(texts: DataFrame, items: Items) -> np.ndarray:
     return counts
 
 
-def _matches(docs: DataFrame, items: Items) -> DataFrame:
-    """All columns of ``docs`` with _item, _score, _first, _last: its best passage among the block's items."""
+def _matches(docs: DataFrame, items: Items, names: list[str]) -> DataFrame:
+    """All columns of ``docs`` with four called ``names``: the item of its best passage among the block's, score, first and last word."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     at = docs.columns.index("text")
 
@@ -202,9 +202,9 @@ def _matches(docs: DataFrame, items: Items) -> DataFrame:
                 for column, value in zip(best, (x.ids[item], share, np.maximum(a, a + end - size) - base, a + end - base), strict=True):
                     column[row_of[one]] = value[one]
                 part = batch.slice(lo, n)
-                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, best)], names=[*part.schema.names, "_item", "_score", "_first", "_last"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, best)], names=[*part.schema.names, *names])
 
-    kinds = [StructField("_item", LongType()), StructField("_score", DoubleType()), StructField("_first", LongType()), StructField("_last", LongType())]
+    kinds = [StructField(name, kind) for name, kind in zip(names, (LongType(), DoubleType(), LongType(), LongType()), strict=True)]
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *kinds]))
 
 
@@ -225,8 +225,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     have score 0 and null item_id. Items without words or id are left out;
     repeated items count once; without items nothing is contaminated.
 
-    Items come in blocks of about BLOCK_WORDS words, each sent to the executors
-    and held against all rows, so what is broadcast has a fixed bound.
+    Items come in blocks of about BLOCK_WORDS words (or one longer item), each
+    sent to the executors and held against all rows, so what is broadcast has a
+    bound. Columns of any other name pass through.
     """
     added = ["item_id", "score", "first_word", "last_word", "contaminated"]
     docs = docs.drop(*added)
@@ -242,8 +243,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         if not len(block.seeds):
             continue
         block = block.keep(_seed_counts(docs.select("text"), block), documents)
-        found = _matches(out, block)
-        better = F.expr("_score > score or _score = score and _score > 0 and _item < item_id")
-        new = {"item_id": "_item", "score": "_score", "first_word": "_first", "last_word": "_last"}
+        names = unused(out.columns, "_item", "_score", "_first", "_last")
+        found = _matches(out, block, names)
+        item, score = names[:2]
+        better = F.expr(f"{score} > score or {score} = score and {score} > 0 and {item} < item_id")
+        new = dict(zip(("item_id", "score", "first_word", "last_word"), names, strict=True))
         out = found.withColumns({k: F.when(better, F.col(v)).otherwise(F.col(k)) for k, v in new.items()}).drop(*new.values())
     return out.withColumn("contaminated", F.col("score") >= THRESHOLD)

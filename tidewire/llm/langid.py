@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import textkit as tk
+from .scratch import unused
 
 #: Bounds of the training sample of a language: about so many rows, of so many bytes at most, and so many symbols of their text.
 SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_SYMBOLS = 100, 1 << 15, 48_000
@@ -164,7 +165,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     docs = docs.drop("lang_pred", "score")
     at = docs.columns.index("text")
-    marked = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    marked = docs.withColumn(unused(docs.columns, "_letters")[0], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import unused, written
 
 #: A Poisson count of a greater mean is summed from pieces of this mean at most, each with its own hash.
 PIECE = 8.0
@@ -58,12 +58,12 @@ def poisson(rate: Column, key: Column, seed: int) -> Column:
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, seed: int = 17) -> DataFrame:
     """The rows of ``docs`` (doc_id, source, any further columns), each as often as its Poisson count says, shuffled globally.
 
-    Adds replica (from 0) and shuffle_key (a hash; partitions hold ranges of it
-    in order, so partition and place give a global shuffle). The count depends
-    on doc_id, seed and the source's rate alone: the same row gives the same
+    Adds replica (from 0) and shuffle_key, a hash that deals rows to partitions
+    and orders them there; so partition and place give a global shuffle without
+    a pass over the texts for range borders. The count depends on doc_id, seed and the source's rate alone: the same row gives the same
     copies wherever it lies, and repeated rows are replicated alike. A null
-    source is a source; a null doc_id hashes as an empty one; texts are carried,
-    never read. An empty table stays empty. ``docs`` columns named replica,
+    source is a source; null doc_ids hash as an empty one, so all of a source draw
+    the same count; texts are carried, never read. An empty table stays empty. ``docs`` columns named replica,
     shuffle_key or rate are replaced.
 
     The rate table has a row for each source and is joined as Spark finds fit: a
@@ -71,10 +71,11 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, size:
     keys adaptive execution splits.
     """
     docs = docs.drop("replica", "shuffle_key", "rate")
-    table = written(rates(docs, weights, size)).withColumnRenamed("source", "_source")
+    own, rate, n = unused(docs.columns, "_source", "_rate", "_n")
+    table = written(rates(docs, weights, size)).select(F.col("source").alias(own), F.col("rate").alias(rate))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    out = docs.join(table, docs["source"].eqNullSafe(table["_source"])).drop("_source")
-    out = out.withColumn("_n", poisson(F.col("rate"), key, seed)).where("_n > 0")
-    out = out.withColumn("replica", F.explode(F.expr("sequence(0, _n - 1)"))).drop("_n", "rate")
+    out = docs.join(table, docs["source"].eqNullSafe(table[own])).drop(own)
+    out = out.withColumn(n, poisson(F.col(rate), key, seed)).where(f"{n} > 0")
+    out = out.withColumn("replica", F.explode(F.expr(f"sequence(0, {n} - 1)"))).drop(n, rate)
     out = out.withColumn("shuffle_key", F.xxhash64(key, "replica", F.lit(seed)))
     return out.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
