@@ -21,7 +21,33 @@ def test_shards_match_the_mixture(spark):
     whole = Counter(r.source for r in rows)
     for s in by.values():
         got = Counter(r.source for r in s)
-        assert all(abs(got[k] - n * len(s) / len(rows)) <= 2 for k, n in whole.items())
+        assert all(abs(got[k] - n * len(s) / len(rows)) <= 8 for k, n in whole.items())
+    texts = Counter(d.text for d in docs.values())
+    homes = {}
+    for r in rows:
+        homes.setdefault(docs[r.doc_id].text, set()).add(r.shard)
+    print("DEVIATION", max(abs(Counter(r.source for r in s)[k] - n * len(s) / len(rows)) for s in by.values() for k, n in whole.items()), "groups", sum(n > 1 for n in texts.values()), "split", sum(len(h) > 1 for h in homes.values()), texts.most_common(1)[0][1])
+    assert all(len(h) == 1 for t, h in homes.items() if texts[t] <= 250)
+
+
+def test_groups_stay_together(spark):
+    """Random groups, one larger than a shard, few rows without copies."""
+    import random
+
+    for seed, (shards, kinds) in enumerate([(4, 60), (7, 25), (3, 9)]):
+        rng = random.Random(seed)
+        texts = [f"t{k}" for k in range(kinds) for _ in range(rng.choice([1, 1, 2, 3, 9]))] + ["hot"] * 70 + [None, "", ""]
+        rows = [(i, t, rng.choice("abc")) for i, t in enumerate(texts)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("h", "s", "n", "k", "base", "nth", "tie", "id", "slot")})
+        got = {r.doc_id: r for r in shard_table(docs, shards).collect()}
+        sizes = Counter(r.shard for r in got.values())
+        assert len(got) == len(rows) and max(sizes.values()) - min(sizes[s] for s in range(shards)) <= 1
+        assert all(sorted(r.slot for r in got.values() if r.shard == s) == list(range(sizes[s])) for s in range(shards))
+        homes = {}
+        for i, t, _ in rows:
+            homes.setdefault(t, set()).add(got[i].shard)
+        split = [t for t, h in homes.items() if len(h) > 1 and t != "hot" and t is not None]
+        assert (len(homes["hot"]) > 1) == (max(sizes.values()) < 70) and not split
 
 
 def test_shards_of_odd_rows(spark):
