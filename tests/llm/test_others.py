@@ -95,6 +95,31 @@ def test_surrogates(spark, sf):
     assert len(whole) == 200 and hashlib.md5(str(sorted(map(str, whole))).encode()).hexdigest() == hashlib.md5(str(sorted(map(str, op4_keyed_surrogates(spark, sf).collect()))).encode()).hexdigest()
 
 
+def test_hard_entities(spark):
+    texts = {
+        "leak": "Dear Priya Sharma and JOHN SMITH, card 371449635398431, IBAN DE89 3700 0400 4405 3201 04, host 2001:0db8:85a3::8a2e:0370:7334; Mary O'Neil and Anna Smith-Jones wrote. John met Peter. Prof. Jürgen Müller's notes by John Smith",
+        "clean": "Mark my words, May Mark the page at 12:30:45. Order 4111111111111112 shipped; std::vector::iterator, MIT0 LICENSE",
+    }
+    docs = spark.createDataFrame([(k, t, "raw mail a@b.com") for k, t in texts.items()], "doc_id string, text string, _m string").withColumns({c: F.lit("own") for c in ("_d", "_p", "_map", "raw", "who", "new", "names")})
+    rows = pseudonymised(docs)
+    assert rows.columns == [*docs.columns, "n_entities"]
+    got = {r.doc_id: r for r in rows.collect()}
+    assert got["clean"].text == texts["clean"] and got["clean"].n_entities == 0
+    new = got["leak"].text
+    for x in ("Priya", "Sharma", "JOHN", "SMITH", "Smith", "Jones", "O'Neil", "Neil", "Mary", "Anna", "3714", "3700", "85a3", "John", "Peter", "Müller", "Jürgen"):
+        assert x not in new, x
+    assert got["leak"]._m == "raw mail a@b.com" and got["leak"]._d == "own"
+    card = new.split("card ")[1].split(",")[0]
+    assert len(card) == 15 and card[:2] == "37" and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(card))) % 10 == 0
+    iban = new.split("IBAN ")[1].split(",")[0]
+    digits = iban.replace(" ", "")
+    assert iban[4::5] == "     "[: len(iban[4::5])] and int("".join(str(int(c, 36)) for c in digits[4:] + digits[:4])) % 97 == 1
+    upper = new.split(" and ")[1].split(",")[0]
+    assert upper.isupper() and new.endswith(upper.title())  # one person, in two formats
+    first, other = new.split("wrote. ")[1].split(". ")[0].split(" met ")
+    assert first == upper.split()[0].title() and first != other and new.split(" and ")[1].split()[0].title() == first
+
+
 def test_surrogates_stay_distinct(spark):
     from tidewire.llm.surrogates import surrogate_table
 
