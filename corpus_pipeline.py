@@ -1,4 +1,10 @@
-"""A pipeline that makes a training corpus from documents: each stage's rows are written and read as the next one's input."""
+"""A pipeline that makes a training corpus from documents: each stage's rows are written and read as the next one's input.
+
+Every stage takes an empty table (and returns one), null doc_ids, texts, langs
+and sources, texts of any length, repeated rows, and columns of any further
+name, which all but the last stage pass through; what each makes of them is
+stated there.
+"""
 
 from __future__ import annotations
 
@@ -14,27 +20,34 @@ from tidewire.llm.toxicity import toxicity
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go. Null and empty texts are not toxic; equal texts share their fate; without labels of both kinds nothing goes, unless all are toxic."""
     return toxicity(docs, table(spark, sf_dir, "labels")).where("toxicity < 0.5").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: that of the smallest doc_id, one row of it.
+
+    Shingles have five words, as near-duplicate stages without a contract of
+    their own have; two edited words in a short text break ten of them, so fewer
+    edited copies reach 0.8 than with the two words of op8. Texts without words,
+    and rows without doc_id, stay. A text like no other stays, also if another
+    text has the same doc_id.
+    """
     return one_of_each(docs, n=5, percent=80).select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a test item go."""
+    """Documents with a passage of a test item go. Null and empty texts hold none; null, empty and repeated items do no harm; without items nothing goes."""
     return contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come to their target weights; a document stays as often as its count says."""
+    """Sources come to their target weights; a document stays as often as its count says. A null source is a source; equal rows, and rows of a source without doc_id, share a count."""
     return poisson_mix(docs).select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of each row."""
+    """The shard and slot of each row; repeated rows get slots of their own, in one shard where their group fits. Null texts have no checksum and a size of 16."""
     return shard_table(docs, 40).select("doc_id", "source", "size", "text_crc32", "shard", "slot")
 
 
@@ -45,6 +58,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; tables of all stages lie in the shared folder until its owner clears it."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir))

@@ -6,23 +6,72 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
 
-#: Rows of a block up to which the dense kernel is used (a matrix of 128 MB).
-DENSE_ROWS = 4000
+#: Rows of a block up to which the dense kernel is used (a matrix of 128 MB); rows of a tile of larger ones.
+DENSE_ROWS, TILE_ROWS = 4000, 2000
 
 
-def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(block, i, j, sim) with i < j of ``rows`` (id, vector, block) that are at least as similar; blocks bound the pairs."""
-    unit = rows.select("block", "id", "vector", F.sqrt(V.dot(F.col("vector"), F.col("vector"))).alias("norm"))
-    a, b = (unit.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "vector", "norm")]) for s in "ab")
-    pairs = a.join(b, "block").where("id_a < id_b")
-    norm = F.col("norm_a") * F.col("norm_b")
-    return pairs.select("block", F.col("id_a").alias("i"), F.col("id_b").alias("j"), F.when(norm > 0, V.dot(F.col("vector_a"), F.col("vector_b")) / norm).otherwise(0.0).alias("sim")).where(F.col("sim") >= threshold)
+def tiled(left: DataFrame, right: DataFrame | None, run: Callable, schema: str, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """``run`` on each pair of tiles of a block: ids and unit vectors of ``left`` and ``right`` (block, id, vector), or of ``left`` with itself.
+
+    A block falls into tiles of about ``tile_rows`` rows by a hash of id, so a
+    task holds two tiles however large a block is; its tiles are sent to as many
+    tasks as there are tiles on the other side.
+    """
+
+    def placed(rows: DataFrame) -> DataFrame:
+        count = rows.groupBy("block").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"))
+        return rows.select("block", "id", "vector").join(count, "block").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
+
+    a = placed(left)
+    if right is None:
+        first = a.select("block", "id", "vector", F.col("tile").alias("s"), F.explode(F.expr("sequence(tile, tiles - 1)")).alias("t"), F.lit(0).alias("side"))
+        second = a.select("block", "id", "vector", F.explode(F.expr("sequence(0, tile)")).alias("s"), F.col("tile").alias("t"), F.lit(1).alias("side"))
+    else:
+        b = placed(right)
+        tiles = lambda rows: rows.select("block", F.col("tiles").alias("others")).distinct()
+        first = a.join(tiles(b), "block").select("block", "id", "vector", F.col("tile").alias("s"), F.explode(F.expr("sequence(0, others - 1)")).alias("t"), F.lit(0).alias("side"))
+        second = b.join(tiles(a), "block").select("block", "id", "vector", F.explode(F.expr("sequence(0, others - 1)")).alias("s"), F.col("tile").alias("t"), F.lit(1).alias("side"))
+
+    def pair(rows: pd.DataFrame) -> pd.DataFrame:
+        sides = [rows[rows["side"] == k].sort_values("id", kind="stable") for k in (0, 1)]
+        return run(rows["block"].iloc[0], *((own["id"].to_numpy(), unit_rows(own["vector"])) for own in sides))
+
+    return first.unionByName(second).groupBy("block", "s", "t").applyInPandas(pair, schema)
+
+
+def unit_rows(vectors: pd.Series) -> np.ndarray:
+    """Vectors of length 1 as rows; zero vectors stay zero."""
+    x = np.array(vectors.tolist(), np.float64).reshape(len(vectors), -1)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm > 0, norm, 1)
+
+
+def similar_pairs(rows: DataFrame, threshold: float, tile_rows: int = TILE_ROWS, most: int | None = None) -> DataFrame:
+    """(block, i, j, sim) with i < j of ``rows`` (id, vector, block) that are at least as similar; a zero vector is 0 alike to any.
+
+    With ``most``, each pair of tiles passes on that many at most, the most similar ones, then those of least ids.
+    """
+
+    def run(block: int, a: tuple, b: tuple) -> pd.DataFrame:
+        if not len(a[0]) or not len(b[0]):
+            return pd.DataFrame({"block": [], "i": [], "j": [], "sim": []})
+        sim = a[1] @ b[1].T
+        p, q = np.nonzero(sim >= threshold)
+        i, j = a[0][p], b[0][q]
+        keep = i < j if np.array_equal(a[0], b[0]) else i != j  # a tile with itself holds each pair twice
+        i, j, sim = np.minimum(i, j)[keep], np.maximum(i, j)[keep], sim[p, q][keep]
+        if most is not None and len(i) > most:
+            first = np.lexsort((j, i, -sim))[:most]
+            i, j, sim = i[first], j[first], sim[first]
+        return pd.DataFrame({"block": block, "i": i, "j": j, "sim": sim})
+
+    return tiled(rows, None, run, "block long, i long, j long, sim double", tile_rows)
 
 
 def greedy_labels(similar: np.ndarray, min_size: int) -> np.ndarray:
@@ -72,18 +121,19 @@ def _assigned(ids: np.ndarray, sim: np.ndarray, label: np.ndarray) -> pd.DataFra
 ASSIGNMENT = "block long, id long, cluster_label int, is_centroid boolean, distance_to_centroid double, cluster_size long"
 
 
-def cluster_vectors(rows: DataFrame, threshold: float, min_size: int = 2, method: str = "greedy") -> DataFrame:
-    """Assignments of all ``rows`` (id, vector, block): one dense kernel for each block, in the order of id.
+def cluster_vectors(rows: DataFrame, threshold: float, min_size: int = 2, method: str = "greedy", keep: Callable[[DataFrame], DataFrame] | None = None, dense_rows: int = DENSE_ROWS) -> DataFrame:
+    """Assignments of all ``rows`` (id, vector, block).
 
-    Blocks are windows of at most DENSE_ROWS rows; ``large_blocks`` tells those
-    that should go through ``greedy_by_edges``.
+    Blocks of up to ``dense_rows`` rows go through one dense kernel each, in the
+    order of id; larger ones through their edges (``cluster_large``), with the
+    same result, so no task holds more than a bounded number of rows. ``keep``
+    cuts lineage there (by default a reliable checkpoint).
     """
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("id", kind="stable")
-        x = np.array(block["vector"].tolist(), np.float64).reshape(len(block), -1)
-        norm = np.linalg.norm(x, axis=1)
-        sim = x @ x.T / np.maximum(np.outer(norm, norm), 1e-300)
+        unit = unit_rows(block["vector"])
+        sim = unit @ unit.T
         similar = sim >= threshold
         np.fill_diagonal(similar, True)
         label = greedy_labels(similar, min_size) if method == "greedy" else components_labels(similar)
@@ -91,11 +141,99 @@ def cluster_vectors(rows: DataFrame, threshold: float, min_size: int = 2, method
         out.insert(0, "block", block["block"].iloc[0])
         return out
 
-    return rows.select("block", "id", "vector").groupBy("block").applyInPandas(run, ASSIGNMENT)
+    rows = rows.select("block", "id", "vector")
+    large = rows.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > dense_rows).select("block")
+    if large.isEmpty():
+        return rows.groupBy("block").applyInPandas(run, ASSIGNMENT)
+    keep = keep or checkpointed
+    large = keep(large)
+    dense = rows.join(large, "block", "left_anti").groupBy("block").applyInPandas(run, ASSIGNMENT)
+    return dense.unionByName(cluster_large(rows.join(large, "block", "left_semi"), threshold, min_size, method, keep))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable cut of lineage in the folder of ``spark.checkpoint.dir``; a local one is made only in local mode."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
 
+            shared = tempfile.mkdtemp()
+        sc.setCheckpointDir(shared)
+    return df.checkpoint()
 
-def large_blocks(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > DENSE_ROWS)
+
+def cluster_large(rows: DataFrame, threshold: float, min_size: int, method: str, keep: Callable[[DataFrame], DataFrame], tile_rows: int = TILE_ROWS) -> DataFrame:
+    """What ``cluster_vectors`` gives, from similar pairs found tile by tile; nothing is gathered by block.
+
+    The mean similarity of a row to its cluster is its product with the sum of
+    the cluster's unit vectors, so centroids need no pairs either.
+    """
+    norm = F.sqrt(V.dot(F.col("vector"), F.col("vector")))
+    node = F.struct("block", "id")
+    nodes = keep(rows.select(node.alias("id"), F.transform("vector", lambda x: x / F.when(norm > 0, norm).otherwise(1.0)).alias("unit")))
+    edges = keep(similar_pairs(rows, threshold, tile_rows).select(F.struct("block", F.col("i").alias("id")).alias("i"), F.struct("block", F.col("j").alias("id")).alias("j")))
+    if method == "greedy":
+        found = greedy_by_edges(nodes, edges, min_size, keep)
+        both = edges.select(F.col("i").alias("seed")).unionByName(edges.select(F.col("j").alias("seed")))
+        first = both.groupBy("seed").agg((-F.count("*")).alias("rank"))
+    else:
+        found = components_by_edges(nodes, edges, keep)
+        first = found.where("seed is not null").select("seed", F.lit(0).cast("long").alias("rank")).distinct()
+    found = keep(found)
+    # Seeds alone (a cluster of one row) have no edge.
+    seeds = found.where("seed is not null").select("seed").distinct().join(first, "seed", "left").fillna(0, ["rank"])
+    numbers = keep(consecutive(seeds.withColumn("block", F.col("seed.block")), "block", ["rank", "seed"]))
+    joined = nodes.join(found.where("seed is not null"), "id")
+    total = joined.select("seed", F.posexplode("unit").alias("p", "x")).groupBy("seed", "p").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    total = keep(total.groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda v: v["x"]).alias("sum"), F.first("n").alias("n")))  # one entry for each dimension
+    near = joined.join(total, "seed").select("id", "seed", "unit", "n", F.round(V.dot(F.col("unit"), F.col("sum")) / F.col("n"), 12).alias("mean"))
+    centre = keep(near.groupBy("seed").agg(F.min_by(F.struct("id", "unit"), F.struct(-F.col("mean"), "id")).alias("c")))
+    out = near.join(centre, "seed").join(numbers, "seed")
+    member = F.col("id") != F.col("c.id")
+    out = out.select("id", F.col("number").cast("int").alias("cluster_label"), (~member).alias("is_centroid"), F.when(member, 1 - V.dot(F.col("unit"), F.col("c.unit"))).otherwise(0.0).alias("distance_to_centroid"), F.col("n").alias("cluster_size"))
+    alone = found.where("seed is null").select("id", F.lit(-1).alias("cluster_label"), F.lit(True).alias("is_centroid"), F.lit(0.0).alias("distance_to_centroid"), F.lit(1).cast("long").alias("cluster_size"))
+    return out.unionByName(alone).select("id.block", "id.id", "cluster_label", "is_centroid", "distance_to_centroid", "cluster_size")
+
+
+def consecutive(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows`` with number, from 0 on in each ``group`` in the given order: ranges are numbered on their own, then moved by the counts before them."""
+    ranged = rows.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id())
+    inside = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(group, *order)))
+    inside = checkpointed(inside)
+    before = inside.groupBy("_part").agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).drop("_c")  # a row for each partition
+    placed = inside.join(before, "_part").withColumn("number", F.col("_n") + F.col("_before"))
+    first = placed.groupBy(group).agg(F.min("number").alias("_first"))
+    return placed.join(first, group).withColumn("number", F.col("number") - F.col("_first")).drop("_part", "_n", "_before", "_first")
+
+
+def components_by_edges(nodes: DataFrame, edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, seed) of connected components with an edge, seed being the least id; rows alone have none.
+
+    Each round hooks every root to the least root beside it and then halves the
+    pointers until they stand still, so rounds grow with the logarithm of the
+    size of a component.
+    """
+    both = keep(edges.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))))
+    up = keep(both.groupBy(F.col("i").alias("id")).agg(F.least(F.min("j"), F.first("i")).alias("seed")))
+    while True:
+        seen = both.join(up.select(F.col("id").alias("j"), F.col("seed").alias("other")), "j").groupBy(F.col("i").alias("id")).agg(F.min("other").alias("other"))
+        hooks = up.join(seen, "id").where("other < seed").groupBy("seed").agg(F.min("other").alias("to"))
+        moved = keep(hooks)
+        if moved.isEmpty():
+            break
+        up = keep(up.join(moved, "seed", "left").select("id", F.coalesce("to", "seed").alias("seed")))
+        while True:
+            high = up.select(F.col("id").alias("seed"), F.col("seed").alias("next"))
+            new = keep(up.join(high, "seed").select("id", "seed", "next"))
+            still = new.where("next < seed").isEmpty()
+            up = new.select("id", F.col("next").alias("seed"))
+            if still:
+                break
+    return nodes.select("id").join(up, "id", "left")
 
 
 def greedy_by_edges(nodes: DataFrame, edges: DataFrame, min_size: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -119,7 +257,7 @@ def greedy_by_edges(nodes: DataFrame, edges: DataFrame, min_size: int, keep: Cal
         seeds = new if seeds is None else keep(seeds.unionByName(new))
         open_ = keep(open_.join(new, "id", "left_anti").join(beaten, "id", "left_anti"))
     if seeds is None:
-        return nodes.select("id", F.lit(None).cast("long").alias("seed"))
+        return nodes.select("id", F.lit(None).cast(nodes.schema["id"].dataType).alias("seed"))
     near = both.unionByName(seeds.select(F.col("id").alias("i"), F.col("id").alias("j"))).join(seeds.withColumnRenamed("id", "j"), "j", "left_semi").join(rank("j"), "j")
     return nodes.select("id").join(near.groupBy(F.col("i").alias("id")).agg(F.min("rj").alias("r")), "id", "left").select("id", F.col("r.id").alias("seed"))
 
@@ -173,6 +311,17 @@ def tfidf_pairs(weights: DataFrame, eps: float) -> DataFrame:
 STOP_WORDS = "a an and are as at be but by for from had has have he her his i if in into is it its me my no not of on or our she so than that the their them then there these they this to was we were what when which who will with would you your".split()
 
 
+def cluster_texts(rows: DataFrame, eps: float = 0.5, features: int = 5000, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, seed) of ``rows`` (id, text) by density clusters of TF-IDF vectors with two rows each at least: connected components of rows within cosine distance ``eps``; noise has no seed.
+
+    Rows without a term are noise. Candidates share a term of the vocabulary, so
+    its size bounds neither memory nor pairs: a term in most rows pairs them all.
+    """
+    keep = keep or checkpointed
+    weights = keep(tfidf(rows, features))
+    return components_by_edges(rows.select("id"), keep(tfidf_pairs(weights, eps).select("i", "j")), keep)
+
+
 def tumbling(at: Column, start: Column, hours: int) -> Column:
     """The number of the window of ``hours`` from ``start`` on."""
     micros = F.unix_micros(at.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
@@ -191,14 +340,34 @@ def sliding(rows: DataFrame, at: str, hours: int, step: int) -> DataFrame:
 
 def match_centroids(new: DataFrame, centroids: DataFrame, threshold: float) -> DataFrame:
     """(id, centroid_id, sim) of each ``new`` row (id, vector, block): its nearest centroid of the block, first id of equals, if near enough."""
-    c = centroids.select("block", F.col("id").alias("centroid_id"), F.col("vector").alias("cv"))
-    pairs = new.select("id", "vector", "block").join(c, "block").select("id", "centroid_id", F.round(V.cosine(F.col("vector"), F.col("cv")), 12).alias("sim"))
-    best = pairs.groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "centroid_id")).alias("b"))
+
+    def run(block: int, a: tuple, b: tuple) -> pd.DataFrame:
+        if not len(a[0]) or not len(b[0]):
+            return pd.DataFrame({"id": [], "centroid_id": [], "sim": []})
+        sim = np.round(a[1] @ b[1].T, 12)
+        best = sim.argmax(1)  # ids ascend, so the first of equals
+        return pd.DataFrame({"id": a[0], "centroid_id": b[0][best], "sim": sim[np.arange(len(best)), best]})
+
+    near = tiled(new, centroids, run, "id long, centroid_id long, sim double")
+    best = near.groupBy("id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "centroid_id")).alias("b"))
     return best.select("id", "b.centroid_id", (-F.col("b.s")).alias("sim")).where(F.col("sim") >= threshold)
 
 
+def day_candidates(new: DataFrame, centroids: DataFrame, hours: int = 48) -> tuple[DataFrame, DataFrame]:
+    """Both (id, vector, at) as rows with block: a new row's block is its day, a centroid belongs to every day d with at in [d, d + hours).
+
+    Rows without a time match nothing and form a block of their own (null).
+    """
+    day = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01")).cast("long")
+    back = F.sequence(F.lit(0), F.lit(-(-hours // 24)))
+    wide = centroids.where("at is not null").select("id", "vector", "at", F.explode(F.transform(back, lambda k: day(F.col("at")) - k)).alias("block"))
+    start = F.unix_micros(F.date_add(F.lit("1970-01-01").cast("date"), F.col("block").cast("int")).cast("timestamp"))
+    inside = F.unix_micros(F.col("at").cast("timestamp")) - start < F.lit(hours * 3_600_000_000)
+    return new.select("id", "vector", "at", day(F.col("at")).alias("block")), wide.where(inside).drop("at")
+
+
 def incremental(new: DataFrame, centroids: DataFrame, threshold: float, min_size: int = 2) -> tuple[DataFrame, DataFrame]:
-    """New rows matched to existing centroids (id, centroid_id, sim), and clusters among the rest of each block."""
+    """New rows matched to existing centroids (id, centroid_id, sim), and clusters among the rest of each block (``day_candidates`` makes blocks of days)."""
     matched = match_centroids(new, centroids, threshold)
     rest = new.join(matched.select("id"), "id", "left_anti")
     return matched, cluster_vectors(rest, threshold, min_size)
@@ -237,9 +406,15 @@ def sandbox_labels(similar: np.ndarray) -> np.ndarray:
 
 
 def sandbox(rows: DataFrame, threshold: float) -> DataFrame:
-    """(block, id, cluster_label, is_centroid) of ``rows`` (id, vector, block) by ``sandbox_labels``; the first member is the centroid."""
+    """(block, id, cluster_label, is_centroid) of ``rows`` (id, vector, block) by ``sandbox_labels``; the first member is the centroid.
+
+    The variant depends on the order of all rows and has no other form: a block
+    of more than DENSE_ROWS rows is an error (``cluster_vectors`` takes any).
+    """
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
+        if len(block) > DENSE_ROWS:
+            raise ValueError(f"a sandbox block holds {len(block)} rows, {DENSE_ROWS} at most; use cluster_vectors")
         block = block.sort_values("id", kind="stable")
         x = np.array(block["vector"].tolist(), np.float64).reshape(len(block), -1)
         norm = np.linalg.norm(x, axis=1)

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import classify as K
 from ..operators import clustering as C
 from ..operators import entities as E
+from ..operators.clustering import checkpointed
 from .fixtures import articles, table, text_articles
 from .registry import query
 
@@ -40,17 +41,6 @@ def alg_01_edges(s: Spark, d: str) -> DataFrame:
     return C.greedy_by_edges(v, C.similar_pairs(v, 0.3), 2, checkpointed)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable cut of lineage in the cluster's shared folder; one is made only where none is set."""
-    sc = df.sparkSession.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir")
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(shared or tempfile.mkdtemp())
-    return df.checkpoint()
-
-
 @query("alg_02_assignments", _GREEDY + """, size AS (SELECT seed, count(*) AS n FROM m GROUP BY seed)
     SELECT m.i AS id, CASE WHEN m.seed IS NULL THEN 1 ELSE n END AS cluster_size FROM m LEFT JOIN size ON size.seed = m.seed""", None)
 def alg_02(s: Spark, d: str) -> DataFrame:
@@ -102,10 +92,54 @@ def alg_09(s: Spark, d: str) -> DataFrame:
     return C.match_centroids(v.where("id % 3 = 0"), v.where("id % 3 = 1"), 0.2).select("id", "centroid_id", F.round("sim", 6).alias("sim"))
 
 
-@query("alg_08_incremental", f"SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 3 = 0) AS total, count(*) AS matched FROM (SELECT a.vec_id FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 3 = 0 AND b.vec_id % 3 = 1 GROUP BY a.vec_id HAVING max({_SIM}) >= 0.2)", None)
+@query(
+    "alg_03_tfidf_clusters",
+    r"""WITH RECURSIVE w AS (SELECT item_id AS id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 2 AND NOT list_contains(string_split('{stop}', ' '), x)) AS w FROM benchmark),
+    t AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+    tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL), v AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tf GROUP BY term ORDER BY cf DESC, term LIMIT 200),
+    x AS (SELECT id, term, tf * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)::DOUBLE) + 1) AS x FROM tf JOIN v USING (term)), n AS (SELECT id, sqrt(sum(x * x)) AS n FROM x GROUP BY id),
+    u AS (SELECT id, term, x / n AS u FROM x JOIN n USING (id)), e AS (SELECT a.id AS i, b.id AS j FROM u a JOIN u b ON a.term = b.term AND a.id <> b.id GROUP BY ALL HAVING sum(a.u * b.u) >= 0.5),
+    r AS (SELECT item_id AS i, item_id AS j FROM benchmark UNION SELECT r.i, e.j FROM r JOIN e ON e.i = r.j)
+    SELECT i AS id, CASE WHEN count(*) > 1 THEN min(j) END AS seed FROM r GROUP BY i""".replace("{stop}", " ".join(C.STOP_WORDS)),
+    None,
+)
+def alg_03_clusters(s: Spark, d: str) -> DataFrame:
+    return C.cluster_texts(table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"), 0.5, 200)
+
+
+@query(
+    "alg_08_incremental",
+    f"""WITH RECURSIVE v AS (SELECT vec_id AS id, embedding, ts FROM embeddings JOIN events ON event_id = vec_id),
+    p AS (SELECT a.id, b.id AS c, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS sim FROM v a JOIN v b ON a.id % 3 = 0 AND b.id % 3 = 1 AND b.ts >= date_trunc('day', a.ts) AND b.ts < date_trunc('day', a.ts) + INTERVAL 48 HOUR),
+    matched AS (SELECT id, arg_min(c, (-sim, c)) AS c FROM p GROUP BY id HAVING max(sim) >= 0.3),
+    rest AS (SELECT * FROM v WHERE id % 3 = 0 AND id NOT IN (SELECT id FROM matched)),
+    e AS (SELECT a.id AS i, b.id AS j FROM rest a JOIN rest b ON date_trunc('day', a.ts) = date_trunc('day', b.ts) AND a.id <> b.id AND {_SIM} >= 0.3),
+    deg AS (SELECT i, count(*) + 1 AS n FROM e GROUP BY i)
+    SELECT id, c AS centroid_id, NULL::BIGINT AS degree FROM matched UNION ALL SELECT id, NULL, coalesce(n, 1) FROM rest LEFT JOIN deg ON deg.i = id""",
+    None,
+)
 def alg_08(s: Spark, d: str) -> DataFrame:
-    v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("block"))
-    matched, rest = C.incremental(v.where("id % 3 = 0"), v.where("id % 3 = 1"), 0.2)
+    """New rows join centroids of [day, day + 48 h); of the others the number of neighbours of their day, themselves included."""
+    v = table(s, d, "embeddings").join(table(s, d, "events"), F.col("vec_id") == F.col("event_id")).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("ts").alias("at"))
+    new, centroids = C.day_candidates(v.where("id % 3 = 0"), v.where("id % 3 = 1"))
+    matched = checkpointed(C.match_centroids(new, centroids, 0.3))
+    rest = new.join(matched, "id", "left_anti")
+    pairs = C.similar_pairs(rest, 0.3)
+    degree = pairs.select("i").unionByName(pairs.select(F.col("j").alias("i"))).groupBy(F.col("i").alias("id")).agg((F.count("*") + 1).alias("degree"))
+    others = rest.select("id", F.lit(None).cast("long").alias("centroid_id")).join(degree, "id", "left").fillna(1, ["degree"])
+    return matched.select("id", "centroid_id", F.lit(None).cast("long").alias("degree")).unionByName(others)
+
+
+@query(
+    "alg_08_clusters",
+    f"""WITH v AS (SELECT vec_id, embedding, ts FROM embeddings JOIN events ON event_id = vec_id),
+    p AS (SELECT a.vec_id AS id, max({_SIM}) AS sim FROM v a JOIN v b ON a.vec_id % 3 = 0 AND b.vec_id % 3 = 1 AND b.ts >= date_trunc('day', a.ts) AND b.ts < date_trunc('day', a.ts) + INTERVAL 48 HOUR GROUP BY a.vec_id)
+    SELECT (SELECT count(*) FROM v WHERE vec_id % 3 = 0) AS total, (SELECT count(*) FROM p WHERE sim >= 0.3) AS matched""",
+    None,
+)
+def alg_08_clusters(s: Spark, d: str) -> DataFrame:
+    v = table(s, d, "embeddings").join(table(s, d, "events"), F.col("vec_id") == F.col("event_id")).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("ts").alias("at"))
+    matched, rest = C.incremental(*C.day_candidates(v.where("id % 3 = 0"), v.where("id % 3 = 1")), 0.3)
     both = matched.select(F.lit(1).alias("m")).unionByName(rest.select(F.lit(0).alias("m")))
     return both.agg(F.count("*").alias("total"), F.count_if(F.col("m") == 1).alias("matched"))
 
@@ -217,9 +251,9 @@ def alg_32(s: Spark, d: str) -> DataFrame:
     return articles(s, d).groupBy("source").agg(F.count("*").alias("n"), K.cost(F.count("*"), price_in=0.15, price_out=0.6).alias("cost"))
 
 
-@query("q25_all_pairs", f"SELECT a.vec_id AS i, b.vec_id AS j, round({_SIM}, 6) AS sim, {_SIM} >= 0.4 AS would_cluster FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id < 200 AND b.vec_id < 200 ORDER BY {_SIM} DESC, i, j LIMIT 50", None)
+@query("q25_all_pairs", f"SELECT a.vec_id AS i, b.vec_id AS j, round({_SIM}, 6) AS sim, {_SIM} >= 0.4 AS would_cluster FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id ORDER BY {_SIM} DESC, i, j LIMIT 50", None)
 def q25(s: Spark, d: str) -> DataFrame:
-    pairs = C.similar_pairs(vectors(s, d).where("id < 200"), -1.0)  # the sandbox compares a handful of headlines
+    pairs = C.similar_pairs(vectors(s, d), -1.0, most=50)
     return pairs.orderBy(F.desc("sim"), "i", "j").limit(50).select("i", "j", F.round("sim", 6).alias("sim"), (F.col("sim") >= 0.4).alias("would_cluster"))
 
 

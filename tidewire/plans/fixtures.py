@@ -16,8 +16,8 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("ticker"), F.col("s_name").alias("name"), F.col("r_name").alias("sector"), F.col("n_name").alias("industry"), F.lpad(F.col("s_suppkey").cast("string"), 10, "0").alias("cik"))
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as articles; every 13th customer's are unclassified, every 5th order lacks a summary."""
+def articles(spark: SparkSession, sf_dir: str, centroids: bool = True) -> DataFrame:
+    """Orders as articles; every 13th customer's are unclassified, every 5th order lacks a summary. Without ``centroids`` the table is read once."""
     classified = F.expr("o_custkey % 13 <> 0")
     label = F.when(classified, F.when(F.col("o_orderstatus") == "F", "FACTUAL").when(F.col("o_orderstatus") == "O", "OPINION").otherwise("SLOP"))
     base = table(spark, sf_dir, "orders").select(
@@ -36,13 +36,19 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("cast(o_custkey % 8 - 1 as int)").alias("cluster_label"),
         F.when(F.expr("o_custkey % 11 <> 0"), F.expr("(o_custkey % 50) / 100.0D")).alias("distance_to_centroid"),
     )
+    if not centroids:
+        return base
     first = base.groupBy("cluster_batch_id", "cluster_label").agg(F.min("id").alias("_first"))
     return base.join(first, ["cluster_batch_id", "cluster_label"]).withColumn("is_cluster_centroid", F.col("id") == F.col("_first")).drop("_first")
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as mentions, one for each article and company."""
-    grouped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("article_id"), F.col("l_suppkey").alias("company_id"))
+def mentions(spark: SparkSession, sf_dir: str, articles: DataFrame | None = None, companies: DataFrame | None = None) -> DataFrame:
+    """Line items as mentions, one for each article and company; only those of ``articles`` (id) or ``companies`` (id), left out before they are grouped."""
+    lines = table(spark, sf_dir, "lineitem")
+    for rows, key in ((articles, "l_orderkey"), (companies, "l_suppkey")):
+        if rows is not None:
+            lines = lines.join(rows.select(F.col("id").alias(key)), key, "left_semi")
+    grouped = lines.groupBy(F.col("l_orderkey").alias("article_id"), F.col("l_suppkey").alias("company_id"))
     rows = grouped.agg((1 - F.min("l_discount")).alias("confidence"), F.min("l_shipdate").alias("created_at"), F.min("l_linenumber").alias("_n"))
     kinds = F.expr("element_at(array('title', 'summary', 'both'), cast(_n % 3 + 1 as int))")
     method = F.expr("element_at(array('ticker', 'name', 'alias', 'brand'), cast(_n % 4 + 1 as int))")
@@ -50,8 +56,10 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("mention_type", kinds).withColumn("match_method", method).drop("_n").join(ticker, "company_id")
 
 
-def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clusters(spark: SparkSession, sf_dir: str, centroids: bool = True) -> DataFrame:
     """The audit table of cluster assignments."""
+    if not centroids:
+        return articles(spark, sf_dir, False).select("cluster_batch_id", F.col("id").alias("article_id"), "cluster_label", "distance_to_centroid", F.col("fetched_at").alias("created_at"))
     return articles(spark, sf_dir).select("cluster_batch_id", F.col("id").alias("article_id"), "cluster_label", F.col("is_cluster_centroid").alias("is_centroid"), "distance_to_centroid", F.col("fetched_at").alias("created_at"))
 
 

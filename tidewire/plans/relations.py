@@ -100,9 +100,9 @@ def agg_11(s: Spark, d: str) -> DataFrame:
     return c.agg(F.coalesce(F.sum("distance_to_centroid"), F.lit(0.0)).alias("s0"), F.round(F.coalesce(F.avg("distance_to_centroid"), F.lit(0.0)), 6).alias("a"))
 
 
-@query("agg_14_aligned_arrays", "SELECT company_id, array_to_string(list(article_id ORDER BY confidence DESC, article_id DESC), ',') AS ids, array_to_string(list(mention_type ORDER BY confidence DESC, article_id DESC), ',') AS kinds FROM mentions WHERE company_id <= 3 AND article_id < 2000 GROUP BY company_id")
+@query("agg_14_aligned_arrays", "SELECT company_id, array_to_string(list(article_id ORDER BY confidence DESC, article_id DESC), ',') AS ids, array_to_string(list(mention_type ORDER BY confidence DESC, article_id DESC), ',') AS kinds FROM mentions GROUP BY company_id")
 def agg_14(s: Spark, d: str) -> DataFrame:
-    m = mentions(s, d).where("company_id <= 3 and article_id < 2000")
+    m = mentions(s, d)
     rows = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("a"), (-F.col("article_id")).alias("b"), "article_id", "mention_type"))).alias("r")
     return m.groupBy("company_id").agg(rows).select("company_id", F.array_join(F.transform("r", lambda x: x["article_id"].cast("string")), ",").alias("ids"), F.array_join(F.transform("r", lambda x: x["mention_type"]), ",").alias("kinds"))
 
@@ -152,9 +152,9 @@ def set_03(s: Spark, d: str) -> DataFrame:
     return clusters(s, d).groupBy("cluster_batch_id", "cluster_label").agg(F.count("*").alias("n")).groupBy("cluster_batch_id").agg(F.max("n").alias("most"))
 
 
-@query("set_04_scalar_subquery", "SELECT id, (SELECT count(*) FROM companies) AS companies FROM articles WHERE id <= 50")
+@query("set_04_scalar_subquery", "SELECT id, (SELECT count(*) FROM companies) AS companies FROM articles")
 def set_04(s: Spark, d: str) -> DataFrame:
-    return articles(s, d).where("id <= 50").select("id").crossJoin(F.broadcast(companies(s, d).agg(F.count("*").alias("companies"))))
+    return articles(s, d).select("id").crossJoin(F.broadcast(companies(s, d).agg(F.count("*").alias("companies"))))
 
 
 @query("set_05_set_operations", "WITH m AS (SELECT article_id, list(DISTINCT company_id % 7) AS a, list(DISTINCT company_id % 5) AS b FROM mentions GROUP BY article_id) SELECT article_id, len(list_intersect(a, b)) AS both, len(list_distinct(list_concat(a, b))) AS any FROM m")

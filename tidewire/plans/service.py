@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,17 +20,26 @@ def as_of(rows: DataFrame, column: str = "published_at") -> Column:
     return F.lit(rows.agg(F.max(column)).first()[0])
 
 
-def feed(a: DataFrame, m: DataFrame, c: DataFrame, since: str | None = None, tickers: list[str] | None = None, limit: int = 100) -> DataFrame:
-    """A page of classified centroids and noise after a cursor, with tickers and cluster sizes."""
+def feed(a: DataFrame, mentions_of: Callable[..., DataFrame], c: DataFrame, since: str | None = None, tickers: DataFrame | None = None, limit: int = 100) -> DataFrame:
+    """A page of classified centroids and noise after a cursor, with tickers and cluster sizes.
+
+    ``mentions_of`` gives the mentions of some articles (id) or companies (id).
+    The page of ``limit`` rows comes first, in one job; only its articles'
+    mentions and its clusters' rows are then read and grouped, by literal keys
+    that reach the scans. ``tickers`` are the companies (id) asked for.
+    """
     rows = a.where("ready_for_kg and (is_cluster_centroid or cluster_label = -1)")
     if since is not None:
         rows = rows.where(F.col("classified_at") > F.lit(since).cast(a.schema["classified_at"].dataType))
-    if tickers:
-        rows = rows.join(m.where(F.col("ticker").isin(tickers)).select(F.col("article_id").alias("id")), "id", "left_semi")
-    page = rows.orderBy(F.asc("classified_at"), F.asc("id")).limit(limit)
-    own = m.join(F.broadcast(page.select(F.col("id").alias("article_id"))), "article_id").groupBy(F.col("article_id").alias("id")).agg(F.sort_array(F.collect_set("ticker")).alias("tickers"))  # a page has at most ``limit`` rows
+    if tickers is not None:
+        rows = rows.join(mentions_of(companies=tickers).select(F.col("article_id").alias("id")), "id", "left_semi")
+    spark, top = a.sparkSession, rows.orderBy(F.asc("classified_at"), F.asc("id")).limit(limit)
+    held = top.collect()  # ``limit`` rows
+    page = spark.createDataFrame(held, top.schema)
+    own = mentions_of(articles=page.select("id")).groupBy(F.col("article_id").alias("id")).agg(F.sort_array(F.collect_set("ticker")).alias("tickers"))
     keys = page.where("cluster_label <> -1").select("cluster_batch_id", "cluster_label").distinct()
-    sizes = c.join(F.broadcast(keys), ["cluster_batch_id", "cluster_label"], "left_semi").groupBy("cluster_batch_id", "cluster_label").agg(F.count("*").alias("size"))
+    batches = sorted({r.cluster_batch_id for r in held})
+    sizes = c.where(F.col("cluster_batch_id").isin(batches)).join(F.broadcast(keys), ["cluster_batch_id", "cluster_label"], "left_semi").groupBy("cluster_batch_id", "cluster_label").agg(F.count("*").alias("size"))
     page = page.join(own, "id", "left").join(sizes, ["cluster_batch_id", "cluster_label"], "left")
     return page.withColumn("tickers", F.coalesce("tickers", F.array().cast("array<string>"))).withColumn("cluster_size", F.coalesce("size", F.lit(1).cast("long"))).drop("size")
 
@@ -47,12 +59,13 @@ def _flat_feed(f: DataFrame) -> DataFrame:
 
 @query("q01_feed", "WITH " + _FEED.format(where="AND classified_at > TIMESTAMP '1995-01-01'", limit=100))
 def q01(spark: Spark, sf: str) -> DataFrame:
-    return _flat_feed(feed(articles(spark, sf), mentions(spark, sf), clusters(spark, sf), since="1995-01-01 00:00:00"))
+    return _flat_feed(feed(articles(spark, sf), partial(mentions, spark, sf), clusters(spark, sf, False), since="1995-01-01 00:00:00"))
 
 
 @query("q01_feed_by_ticker", "WITH " + _FEED.format(where="AND id IN (SELECT article_id FROM mentions WHERE ticker IN ('Supplier#000000001', 'Supplier#000000002', 'Supplier#1', 'Supplier#2'))", limit=500))
 def q01_ticker(spark: Spark, sf: str) -> DataFrame:
-    return _flat_feed(feed(articles(spark, sf), mentions(spark, sf), clusters(spark, sf), tickers=["Supplier#000000001", "Supplier#000000002", "Supplier#1", "Supplier#2"], limit=500))
+    asked = companies(spark, sf).where(F.col("ticker").isin("Supplier#000000001", "Supplier#000000002", "Supplier#1", "Supplier#2"))
+    return _flat_feed(feed(articles(spark, sf), partial(mentions, spark, sf), clusters(spark, sf, False), tickers=asked, limit=500))
 
 
 @query(
@@ -74,12 +87,12 @@ def q01_meta(spark: Spark, sf: str) -> DataFrame:
     WHERE a.id = 7""",
 )
 def q02(spark: Spark, sf: str) -> DataFrame:
-    one = articles(spark, sf).where("id = 7")
-    size = clusters(spark, sf).groupBy("cluster_batch_id", "cluster_label").agg(F.count("*").alias("cluster_size"))
+    one = articles(spark, sf, False).where("id = 7")
+    size = clusters(spark, sf, False).join(one.select("cluster_batch_id", "cluster_label"), ["cluster_batch_id", "cluster_label"], "left_semi").groupBy("cluster_batch_id", "cluster_label").agg(F.count("*").alias("cluster_size"))
     tag = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.date_format("classified_at", "yyyy-MM-dd HH:mm:ss"), "cluster_batch_id"))
     # With a NULL time the tag is NULL, as concatenation with || has it.
     tag = F.when(F.col("classified_at").isNotNull(), tag)
-    m = mentions(spark, sf).withColumnRenamed("article_id", "id").select("id", "ticker", "match_method", F.round("confidence", 4).alias("confidence"))
+    m = mentions(spark, sf).where("article_id = 7").withColumnRenamed("article_id", "id").select("id", "ticker", "match_method", F.round("confidence", 4).alias("confidence"))
     return one.join(m, "id", "left").join(size, ["cluster_batch_id", "cluster_label"], "left").select("id", "title", F.col("classification_label").alias("label"), "ticker", "match_method", "confidence", "cluster_size", tag.alias("etag"))
 
 
@@ -92,9 +105,11 @@ def q02(spark: Spark, sf: str) -> DataFrame:
 )
 def q03(spark: Spark, sf: str) -> DataFrame:
     c = clusters(spark, sf)
-    newest = c.where("created_at < timestamp_ntz'1997-01-01'").agg(F.max("cluster_batch_id")).first()[0]
-    rows = c.where((F.col("cluster_batch_id") == newest) & (F.col("cluster_label") == 2)).join(articles(spark, sf).select(F.col("id").alias("article_id"), "title"), "article_id")
-    tick = mentions(spark, sf).groupBy("article_id").agg(F.array_join(F.sort_array(F.collect_set("ticker")), ",").alias("tickers"))
+    newest = clusters(spark, sf, False).where("created_at < timestamp_ntz'1997-01-01'").agg(F.max("cluster_batch_id").alias("cluster_batch_id"))
+    rows = c.where("cluster_label = 2").join(F.broadcast(newest), "cluster_batch_id")  # one row
+    ids = rows.select(F.col("article_id").alias("id"))
+    rows = rows.join(articles(spark, sf, False).select(F.col("id").alias("article_id"), "title"), "article_id")
+    tick = mentions(spark, sf, articles=ids).groupBy("article_id").agg(F.array_join(F.sort_array(F.collect_set("ticker")), ",").alias("tickers"))
     return rows.join(tick, "article_id", "left").select("article_id", "title", "is_centroid", F.round(R.similarity("distance_to_centroid"), 6).alias("similarity"), "tickers")
 
 
@@ -116,11 +131,12 @@ def q04(spark: Spark, sf: str) -> DataFrame:
       AND a.ready_for_kg AND (a.is_cluster_centroid OR a.cluster_label = -1) AND m.company_id = (SELECT id FROM one) ORDER BY a.published_at DESC NULLS FIRST, a.id LIMIT 10) a ON a.company_id = one.id""",
 )
 def q05(spark: Spark, sf: str) -> DataFrame:
-    a, m = articles(spark, sf), mentions(spark, sf)
     one = companies(spark, sf).orderBy("ticker").limit(1).select(F.col("id").alias("company_id"), "ticker")
-    own = m.drop("ticker").join(F.broadcast(one), "company_id", "right")
+    m = mentions(spark, sf, companies=one.select(F.col("company_id").alias("id")))
+    own = m.drop("ticker").join(F.broadcast(one), "company_id", "right")  # one row
     total = own.groupBy("company_id", "ticker").agg(F.count("article_id").alias("mention_count"))
-    recent = a.where(F.col("published_at") >= as_of(a) - F.expr("INTERVAL 365 DAYS")).where("ready_for_kg and (is_cluster_centroid or cluster_label = -1)")
+    now = articles(spark, sf, False).agg((F.max("published_at") - F.expr("INTERVAL 365 DAYS")).alias("after"))
+    recent = articles(spark, sf).where("ready_for_kg and (is_cluster_centroid or cluster_label = -1)").join(F.broadcast(now), F.col("published_at") >= F.col("after"))
     top = own.select("company_id", F.col("article_id").alias("id")).join(recent, "id").orderBy(F.desc_nulls_first("published_at"), "id").limit(10)
     return total.join(top.select("company_id", F.col("id").alias("article_id"), "published_at"), "company_id", "left").select("ticker", "mention_count", "article_id", "published_at")
 
@@ -134,14 +150,14 @@ def q05(spark: Spark, sf: str) -> DataFrame:
       count(*) FILTER (WHERE fetched_at >= (SELECT max(fetched_at) FROM articles) - INTERVAL 24 HOUR) AS last_24h, min(published_at) AS oldest, max(published_at) AS newest FROM articles""",
 )
 def q06(spark: Spark, sf: str) -> DataFrame:
-    a = articles(spark, sf)
+    a = articles(spark, sf, False)
     label = F.col("classification_label")
     own = a.agg(
         F.count("*").alias("total"), F.count(label).alias("classified"), F.count_if(label.isNull()).alias("unclassified"), F.count_if(label == "FACTUAL").alias("factual"),
         F.count_if(label == "OPINION").alias("opinion"), F.count_if(label == "SLOP").alias("slop"),
         F.count_if(F.col("fetched_at") >= as_of(a, "fetched_at") - F.expr("INTERVAL 24 HOURS")).alias("last_24h"), F.min("published_at").alias("oldest"), F.max("published_at").alias("newest"),
     )
-    groups = clusters(spark, sf).where("cluster_label <> -1").agg(F.count_distinct(F.struct("cluster_batch_id", "cluster_label")).alias("clusters"))
+    groups = clusters(spark, sf, False).where("cluster_label <> -1").agg(F.count_distinct(F.struct("cluster_batch_id", "cluster_label")).alias("clusters"))
     m = mentions(spark, sf).agg(F.count("*").alias("mentions"), F.count_distinct("company_id").alias("companies"))
     return own.crossJoin(groups).crossJoin(m)  # three rows of one
 
@@ -158,19 +174,19 @@ def q07(spark: Spark, sf: str) -> DataFrame:
     SELECT id, title, source, published_at, (SELECT count(*) FROM hits) AS total FROM hits ORDER BY published_at DESC NULLS LAST, fetched_at DESC NULLS FIRST, id LIMIT 50 OFFSET 10""",
 )
 def q08(spark: Spark, sf: str) -> DataFrame:
-    hits = R.search(articles(spark, sf), sources=["1-URGENT", "2-HIGH"], keyword="order 1", days=700)
+    hits = R.search(articles(spark, sf, False), sources=["1-URGENT", "2-HIGH"], keyword="order 1", days=700)
     page = hits.orderBy(F.desc_nulls_last("published_at"), F.desc_nulls_first("fetched_at"), "id").offset(10).limit(50)
     return page.select("id", "title", "source", "published_at").crossJoin(hits.agg(F.count("*").alias("total")))
 
 
 @query("q09_sources", "SELECT source, count(*) AS n FROM articles GROUP BY source")
 def q09(spark: Spark, sf: str) -> DataFrame:
-    return articles(spark, sf).groupBy("source").agg(F.count("*").alias("n"))
+    return articles(spark, sf, False).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("q10_totals", "SELECT count(*) AS total, count(DISTINCT source) AS sources, min(published_at) AS oldest, max(published_at) AS newest, count(*) FILTER (WHERE fetched_at >= (SELECT max(fetched_at) FROM articles) - INTERVAL 24 HOUR) AS last_24h FROM articles")
 def q10(spark: Spark, sf: str) -> DataFrame:
-    a = articles(spark, sf)
+    a = articles(spark, sf, False)
     recent = F.count_if(F.col("fetched_at") >= as_of(a, "fetched_at") - F.expr("INTERVAL 24 HOURS"))
     return a.agg(F.count("*").alias("total"), F.count_distinct("source").alias("sources"), F.min("published_at").alias("oldest"), F.max("published_at").alias("newest"), recent.alias("last_24h"))
 
@@ -184,8 +200,8 @@ filtered AS (SELECT * FROM info WHERE s < 0.999 AND s >= 0.5 AND s <= 0.95)"""
 
 def browse(spark: Spark, sf: str) -> DataFrame:
     """Clusters of the window with a mean similarity in the band."""
-    a = articles(spark, sf).where("cluster_label <> -1")
-    recent = a.where(F.col("published_at") >= as_of(articles(spark, sf)) - F.expr("INTERVAL 400 DAYS"))
+    a = articles(spark, sf, False).where("cluster_label <> -1")
+    recent = a.where(F.col("published_at") >= as_of(articles(spark, sf, False)) - F.expr("INTERVAL 400 DAYS"))
     info = recent.groupBy("cluster_batch_id", "cluster_label").agg(F.count("*").alias("n"), F.avg(R.similarity("distance_to_centroid")).alias("s"), F.max("published_at").alias("newest"))
     return info.where("n >= 2 and s < 0.999 and s >= 0.5 and s <= 0.95")
 
@@ -207,7 +223,7 @@ def q11_totals(spark: Spark, sf: str) -> DataFrame:
     SELECT bucket, count(*) AS total, count(*) FILTER (WHERE fetched_at >= (SELECT max(fetched_at) FROM articles) - INTERVAL 24 HOUR) AS last_24h FROM b GROUP BY bucket""",
 )
 def q12(spark: Spark, sf: str) -> DataFrame:
-    a = articles(spark, sf)
+    a = articles(spark, sf, False)
     bucket = R.bucketed("source", [("1%", "wire"), ("2%", "filings"), ("%(%", "other")])
     return a.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("total"), F.count_if(F.col("fetched_at") >= as_of(a, "fetched_at") - F.expr("INTERVAL 24 HOURS")).alias("last_24h"))
 
@@ -218,7 +234,7 @@ def q12(spark: Spark, sf: str) -> DataFrame:
     SELECT count(*) AS active, CASE WHEN count(*) >= 7 THEN 'healthy' WHEN count(*) >= 4 THEN 'degraded' ELSE 'unhealthy' END AS status FROM live""",
 )
 def q13(spark: Spark, sf: str) -> DataFrame:
-    return R.health(articles(spark, sf), "source", "fetched_at", minutes=60)
+    return R.health(articles(spark, sf, False), "source", "fetched_at", minutes=60)
 
 
 @query("q14_companies", "SELECT c.ticker, c.name, c.sector, count(m.article_id) AS mentions FROM companies c JOIN mentions m ON m.company_id = c.id GROUP BY ALL HAVING count(*) > 0")
@@ -229,14 +245,14 @@ def q14(spark: Spark, sf: str) -> DataFrame:
 
 @query("q15_company_stats", "SELECT m.ticker, count(*) AS n FROM mentions m JOIN articles a ON a.id = m.article_id WHERE a.published_at >= (SELECT max(published_at) FROM articles) - INTERVAL 30 DAY GROUP BY m.ticker ORDER BY n DESC, ticker LIMIT 25")
 def q15(spark: Spark, sf: str) -> DataFrame:
-    a = articles(spark, sf)
+    a = articles(spark, sf, False)
     recent = a.where(F.col("published_at") >= as_of(a) - F.expr("INTERVAL 30 DAYS")).select(F.col("id").alias("article_id"))
     return mentions(spark, sf).join(recent, "article_id", "left_semi").groupBy("ticker").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ticker").limit(25)
 
 
 @query("q16_cli_search", "SELECT id, CASE WHEN length(title) > 12 THEN left(title, 12) || '...' ELSE title END AS title, source FROM articles WHERE source ILIKE '%urgent%' AND title ILIKE '%9%' ORDER BY published_at DESC NULLS LAST, id LIMIT 20")
 def q16(spark: Spark, sf: str) -> DataFrame:
-    hits = articles(spark, sf).where(F.col("source").ilike("%urgent%") & F.col("title").ilike("%9%"))
+    hits = articles(spark, sf, False).where(F.col("source").ilike("%urgent%") & F.col("title").ilike("%9%"))
     return hits.orderBy(F.desc_nulls_last("published_at"), "id").limit(20).select("id", R.ellipsis("title", 12).alias("title"), "source")
 
 
@@ -247,12 +263,12 @@ def q16(spark: Spark, sf: str) -> DataFrame:
     FROM clusters c JOIN articles a ON a.id = c.article_id WHERE c.cluster_batch_id = (SELECT b FROM latest) AND c.cluster_label <> -1 GROUP BY c.cluster_label HAVING count(*) >= 2""",
 )
 def q17(spark: Spark, sf: str) -> DataFrame:
-    return R.cluster_report(clusters(spark, sf).where("created_at < timestamp_ntz'1997-01-01'"), articles(spark, sf), headlines=10)
+    return R.cluster_report(clusters(spark, sf).where("created_at < timestamp_ntz'1997-01-01'"), articles(spark, sf, False), headlines=10)
 
 
 @query("q17_size_histogram", "WITH s AS (SELECT cluster_batch_id, cluster_label, count(*) AS size FROM clusters WHERE cluster_label <> -1 GROUP BY ALL) SELECT size, count(*) AS clusters FROM s GROUP BY size")
 def q17_sizes(spark: Spark, sf: str) -> DataFrame:
-    return clusters(spark, sf).where("cluster_label <> -1").groupBy("cluster_batch_id", "cluster_label").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("clusters"))
+    return clusters(spark, sf, False).where("cluster_label <> -1").groupBy("cluster_batch_id", "cluster_label").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("clusters"))
 
 
 @query("q18_unclassified", "SELECT id, title FROM text_articles WHERE classification_label IS NULL AND NOT source LIKE 'src1%' AND fetched_at >= (SELECT max(fetched_at) FROM text_articles) - INTERVAL 4 DAY ORDER BY fetched_at DESC NULLS FIRST, id LIMIT 100", "text")
@@ -286,7 +302,7 @@ def q19(spark: Spark, sf: str) -> DataFrame:
     SELECT CASE WHEN cnt >= 100 THEN '100+' WHEN cnt >= 20 THEN '20-99' WHEN cnt >= 5 THEN '5-19' WHEN cnt >= 2 THEN '2-4' ELSE '1 (noise)' END AS bucket, count(*) AS clusters, CAST(sum(cnt) AS BIGINT) AS articles, min(cnt) AS least FROM s GROUP BY 1""",
 )
 def q20(spark: Spark, sf: str) -> DataFrame:
-    sizes = clusters(spark, sf).groupBy("cluster_batch_id", "cluster_label").agg(F.count("*").alias("cnt"))
+    sizes = clusters(spark, sf, False).groupBy("cluster_batch_id", "cluster_label").agg(F.count("*").alias("cnt"))
     return sizes.groupBy(R.size_bucket("cnt").alias("bucket")).agg(F.count("*").alias("clusters"), F.sum("cnt").alias("articles"), F.min("cnt").alias("least"))
 
 
@@ -299,14 +315,14 @@ def q20_coverage(spark: Spark, sf: str) -> DataFrame:
 
 @query("q21_deploy_checks", "SELECT count(*) FILTER (WHERE ready_for_kg AND classified_at IS NULL) AS orphans, count(*) FILTER (WHERE ready_for_kg AND cluster_label IS NULL) AS unclustered, (SELECT count(*) FROM articles a WHERE NOT EXISTS (SELECT 1 FROM mentions m WHERE m.article_id = a.id)) AS unmapped FROM articles")
 def q21(spark: Spark, sf: str) -> DataFrame:
-    a = articles(spark, sf)
+    a = articles(spark, sf, False)
     unmapped = a.select(F.col("id").alias("article_id")).join(mentions(spark, sf), "article_id", "left_anti").agg(F.count("*").alias("unmapped"))
     return a.agg(F.count_if(F.expr("ready_for_kg and classified_at is null")).alias("orphans"), F.count_if(F.expr("ready_for_kg and cluster_label is null")).alias("unclustered")).crossJoin(unmapped)
 
 
 @query("q22_distribution", "SELECT classification_label AS label, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM articles WHERE classification_label IS NOT NULL GROUP BY 1")
 def q22(spark: Spark, sf: str) -> DataFrame:
-    return R.distribution(articles(spark, sf).where("classification_label is not null"), F.col("classification_label").alias("label"))
+    return R.distribution(articles(spark, sf, False).where("classification_label is not null"), F.col("classification_label").alias("label"))
 
 
 @query("q23_training_set", "SELECT a.id, a.title, a.classification_label AS label FROM text_articles a JOIN labels l ON l.doc_id = a.id WHERE NOT a.source LIKE 'src1%'", "text")
@@ -317,7 +333,7 @@ def q23(spark: Spark, sf: str) -> DataFrame:
 
 @query("q24_per_day", "SELECT CAST(published_at AS DATE) AS day, source, count(*) AS n FROM articles GROUP BY ALL")
 def q24(spark: Spark, sf: str) -> DataFrame:
-    return articles(spark, sf).groupBy(F.to_date("published_at").alias("day"), "source").agg(F.count("*").alias("n"))
+    return articles(spark, sf, False).groupBy(F.to_date("published_at").alias("day"), "source").agg(F.count("*").alias("n"))
 
 
 @query(
