@@ -129,14 +129,15 @@ def _classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     sketched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches(n), schema)
     sketched = written(sketched.withColumn("row", F.monotonically_increasing_id()))  # fixed by the one attempt of each task that is committed
     usable = "doc_id is not null and n_shingles > 0"
-    copies = written(sketched.where(usable).groupBy("p", "q").agg(F.min("row").alias("first"), F.count("*").alias("many")).where("many > 1").drop("many"))
+    copies = written(sketched.where(usable).groupBy("p", "q").agg(F.min_by("row", F.struct("doc_id", "row")).alias("first"), F.count("*").alias("many")).where("many > 1").drop("many"))
     own = F.when(F.expr(usable), F.col("first"))
     classed = written(sketched.join(copies, ["p", "q"], "left").select("row", "doc_id", "n_shingles", "p", "q", "bands", "bits", F.coalesce(own, "row").alias("node"), own.isNotNull().alias("copied")))
 
     firsts = classed.where(usable).where("row = node").select(F.col("row").alias("id"), F.col("n_shingles").alias("n"), "bits", "bands", "doc_id", "p", "q")
-    bands = firsts.select("id", F.explode("bands").alias("key"))
-    buckets = written(bands.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("many")).where("many > 1").drop("many"))
-    members = written(bands.join(buckets, "key"))
+    bands = firsts.select("id", "doc_id", F.explode("bands").alias("key"))
+    # The smallest doc_id leads a bucket: the same row leads in all buckets it shares with others, however rows are dealt to tasks.
+    buckets = written(bands.groupBy("key").agg(F.min(F.struct("doc_id", "id")).alias("head"), F.count("*").alias("many")).where("many > 1").drop("many"))
+    members = written(bands.drop("doc_id").join(buckets, "key"))
     traits = written(firsts.drop("bands").join(members.select("id").distinct(), "id", "left_semi"))
     keys, traits = traits.select("id", "doc_id", "p", "q"), traits.select("id", "n", "bits")
 
@@ -148,10 +149,10 @@ def _classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def holding(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that may be links."""
         left = written(pairs.join(traits.select(F.col("id").alias("u"), F.struct("n", "bits").alias("x")), "u"))
-        return left.join(traits.select(F.col("id").alias("v"), F.struct("n", "bits").alias("y")), "v").where(near("x", "y")).select("u", "v")
+        return left.join(traits.select(F.col("id").alias("v"), F.struct("n", "bits").alias("y")), "v").where(near("x", "y")).select(*pairs.columns)
 
-    stars = members.where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct()
-    stars = written(holding(stars).groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
+    stars = members.where("id <> head.id").select(F.col("head.id").alias("u"), F.col("head.doc_id").alias("lead"), F.col("id").alias("v")).distinct()
+    stars = written(holding(stars).groupBy("v").agg(F.min_by("u", F.struct("lead", "u")).alias("u")).select("u", "v"))
     links = _confirmed(docs, stars, keys, n, percent)
     groups = components(links)
 
