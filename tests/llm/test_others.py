@@ -1,12 +1,10 @@
 import hashlib
-import math
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 from tidewire.llm.licences import licensed
 from tidewire.llm.multiindex import matrix, neighbours
-from tidewire.llm.perplexity import CLASSES, ORDER, kneser_ney, quality
+from tidewire.llm.perplexity import quality
 from tidewire.llm.queries import op4_keyed_surrogates, op6_licence_inheritance, op9_kneser_ney_quality, op10_inverted_multi_index
 from tidewire.llm.surrogates import pseudonymised
 
@@ -38,37 +36,6 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours(v.where("false"), v).count() == 0 and neighbours(v, v.where("false")).count() == 0
 
 
-def plain_kneser_ney(counts, gram):
-    """The same model with dictionaries."""
-    orders = [Counter({g: n for g, n in counts.items() if n})]
-    while len(next(iter(orders[-1]))) > 1:
-        orders.append(Counter(g[1:] for g in orders[-1]))
-    p = 1 / CLASSES
-    for c in reversed(orders):
-        n = [max(1, sum(v == k for v in c.values())) for k in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1])
-        d = [0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3))]
-        size = len(next(iter(c)))
-        here = {g: v for g, v in c.items() if g[:-1] == gram[len(gram) - size : -1]}
-        total = sum(here.values())
-        if total:
-            own = here.get(gram[len(gram) - size :], 0)
-            p = (own - d[min(own, 3)]) / total + sum(d[min(v, 3)] for v in here.values()) / total * p
-    return -math.log2(p)
-
-
-def test_kneser_ney_equals_plain_model():
-    rng = np.random.default_rng(2)
-    counts = {tuple(rng.integers(1, 5, ORDER).tolist()): int(n) for n in rng.integers(1, 7, 120)}
-    table = np.zeros((CLASSES,) * ORDER, np.int64)
-    for g, n in counts.items():
-        table[g] = n
-    bits = kneser_ney(table.ravel()).reshape(table.shape)
-    assert np.allclose(np.exp2(-bits.astype(float)).sum(-1), 1, atol=1e-4)
-    for g in [*list(counts)[:20], (1, 1, 1, 1), (9, 9, 9, 1), (1, 2, 3, 9)]:
-        assert abs(bits[g] - plain_kneser_ney(counts, g)) < 1e-3
-
-
 def test_quality(spark, sf):
     rows = op9_kneser_ney_quality(spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == 1000 and sum(r.kept for r in rows) > 800 and all(r.kept == (r.low <= r.perplexity <= r.high) for r in rows if r.perplexity)
