@@ -82,6 +82,31 @@ def op6_licence_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licensed(table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document, by the checksum of its id, is made periodic from a word of its own on before the runs are sought; without a doc_id, none is."""
+    from .periodic import periodic_runs
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    docs = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary"))).withColumn("w", F.when(F.expr("h % 10 = 0"), words)).withColumn("n", F.size("w"))
+    docs = docs.withColumn("a", F.expr("if(n > 0, (h div 10) % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
+    planted = F.expr("concat_ws(' ', transform(sequence(0, n - 1), i -> w[int(if(i < a, i, a + (i - a) % p))]))")
+    found = periodic_runs(docs.select("doc_id", F.when(F.expr("n > 0"), planted).otherwise(F.col("text")).alias("text")))
+    # The longest run, then the first, then that of the smallest period.
+    found = found.withColumn("best", F.expr("array_min(transform(runs, r -> struct(-r.length as l, r.start as start, r.period as period)))"))
+    lines = F.expr(r"concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')))")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.l")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * -best.l div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
