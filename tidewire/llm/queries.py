@@ -82,6 +82,12 @@ def op6_licence_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licensed(table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth document, by the checksum of its id, is made periodic from a word of its own on before the runs are sought; without a doc_id, none is."""
     from .periodic import periodic_runs
