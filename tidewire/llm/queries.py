@@ -88,6 +88,18 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
 
+def op12_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathlib import Path
+
+    import public_tokenizers
+
+    from .packing import packed
+
+    definition = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
+    found = packed(table(spark, sf_dir, "documents"), definition, end=1).pieces
+    return found.select("doc_id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth document, by the checksum of its id, is made periodic from a word of its own on before the runs are sought; without a doc_id, none is."""
     from .periodic import periodic_runs
