@@ -3,72 +3,107 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import regex
 
-# The published split pattern of byte-level BPE.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters that every Unicode version classes alike; a text with any other is encoded whole.
 PLAIN = r"\t\n\r\x20-\x7e\xa1-ɏΑ-ΡЀ-ҁぁ-ゖァ-ヺ一-龥"
-#: Words that a task remembers, and their characters; beyond that it forgets all of them.
-WORDS, CHARS = 1 << 18, 1 << 24
-#: Characters encoded at once.
-BLOCK = 1 << 20
+#: Stretches that a task remembers, and their characters; as many of the time before are kept until these are full.
+KNOWN, CHARS = 1 << 18, 1 << 23
+#: Characters encoded at once, and stretches in one text when new ones are encoded.
+BLOCK, TOGETHER = 1 << 20, 256
+#: A space before white space does not begin a word (PLAIN has no other white space).
+ODD = ("  ", " \n", " \t", " \r")
+#: Marks the stretch at the start of a text, which no space precedes. PLAIN lacks it.
+START = "\0"
+
+
+class _Ids:
+    """Ids of stretches of text, end to end."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.flat, self.first, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.chars = 0
+
+    def add(self, stretches: list[str], flat: np.ndarray, count: np.ndarray) -> None:
+        self.at.update(zip(stretches, range(len(self.at), len(self.at) + len(stretches)), strict=True))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
+        self.count, self.flat = np.concatenate([self.count, count]), np.concatenate([self.flat, flat])
+        self.chars += sum(map(len, stretches))
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the stretches ``at``, and how many each has."""
+        count = self.count[at]
+        upto = np.cumsum(count)
+        total = int(upto[-1]) if len(upto) else 0
+        return self.flat[np.arange(total) + np.repeat(self.first[at] - upto + count, count)], count
 
 
 class Encoder:
     """Ids of texts by a ``tokenizers`` file, given as its JSON; special tokens in a text are ordinary text.
 
-    Byte-level BPE gives each word the same ids wherever it stands, so words are
-    looked up and only new ones are encoded. Texts with characters whose class
-    may differ between libraries, and other kinds of tokenizers, are encoded whole.
+    Byte-level BPE begins a word at every space that a character other than white
+    space follows, so the stretches between such spaces have the same ids
+    wherever they stand: they are looked up, and only new ones are encoded. Texts
+    with characters whose class may differ between Unicode versions, and other
+    kinds of tokenizers, are encoded whole.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         kind = json.loads(definition)
         split = kind.get("pre_tokenizer") or {}
         self.by_words = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not kind.get("normalizer") and not (kind.get("model") or {}).get("dropout") and all(t["special"] for t in kind.get("added_tokens", []))
-        self.pieces, self.other = regex.compile(PIECES), regex.compile(f"[^{PLAIN}]")
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.first, self.count = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        self.ids = self.chars = 0
-
-    def _learn(self, words: list[str]) -> None:
-        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.flat.append(np.concatenate(ids))
-        self.first.append(self.ids + np.cumsum(count) - count)
-        self.count.append(count)
-        self.ids += int(count.sum())
-        self.chars += sum(map(len, words))
+        self.other, self.cut = re.compile(f"[^{PLAIN}]"), re.compile(r" (?=\S)")
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that begin with a space
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+        self.known, self.older = _Ids(), _Ids()
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of stretches not known: those of the time before are kept, the others are encoded."""
+        kept = [u for u in new if u in self.older.at]
+        if kept:
+            flat, count = self.older.of(np.fromiter((self.older.at[u] for u in kept), np.int64, len(kept)))
+            self.known.add(kept, flat, count)
+            new = [u for u in new if u not in self.older.at]
+        alone = [u for u in new if u.startswith(START) or " " in u]
+        if alone:
+            ids = self._encoded([u[1:] if u.startswith(START) else f" {u}" for u in alone])
+            self.known.add(alone, np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+            new = [u for u in new if not u.startswith(START) and " " not in u]
+        if new:
+            # Many in one text: each begins with its only space, and so with an id that does.
+            texts = [f" {' '.join(new[i : i + TOGETHER])}" for i in range(0, len(new), TOGETHER)]
+            flat = np.concatenate([np.array(x, np.uint32) for x in self._encoded(texts)])
+            begin = np.flatnonzero(self.opens[flat])
+            self.known.add(new, flat, np.diff(np.append(begin, len(flat))))
 
     def _words(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.pieces.findall(t) for t in texts]
-        if len(self.known) > WORDS or self.chars > CHARS:
-            self._forget()
-        new = {w: None for words in split for w in words if w not in self.known}
+        if len(self.known.at) > KNOWN or self.known.chars > CHARS:
+            self.older, self.known = self.known, _Ids()
+        split = [self.cut.split(t) if t.endswith(" ") or any(x in t for x in ODD) else t.split(" ") for t in texts]
+        for units in split:
+            units[0] = START + units[0]
+        known = self.known.at
+        new = set().union(*split).difference(known)
         if new:
             self._learn(list(new))
-            for held in (self.flat, self.first, self.count):
-                held[:] = [np.concatenate(held)]
-        known, sizes = self.known, [len(words) for words in split]
-        at = np.fromiter((known[w] for words in split for w in words), np.int64, sum(sizes))
-        count = self.count[0][at]
-        upto = np.cumsum(count)
-        total = int(upto[-1]) if len(upto) else 0
-        ids = self.flat[0][np.arange(total) + np.repeat(self.first[0][at] - upto + count, count)]
-        ends = np.concatenate([[0], upto])[np.cumsum([0, *sizes])]
-        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        sizes = [len(units) for units in split]
+        flat, count = self.known.of(np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes)))
+        ends = np.concatenate([[0], np.cumsum(count)])[np.cumsum([0, *sizes])]
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
@@ -81,9 +116,9 @@ class Encoder:
             block, lo = texts[lo:hi], hi
             plain = [self.by_words and not self.other.search(t) for t in block]
             quick = iter(self._words([t for t, p in zip(block, plain, strict=True) if p]))
-            whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(block, plain, strict=True) if not p], add_special_tokens=False))
+            whole = iter(self._encoded([t for t, p in zip(block, plain, strict=True) if not p]))
             for p in plain:
-                yield next(quick) if p else np.array(next(whole).ids, np.uint32)
+                yield next(quick) if p else np.array(next(whole), np.uint32)
 
 
 _loaded: dict[int, Encoder] = {}
