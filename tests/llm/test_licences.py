@@ -88,3 +88,29 @@ def test_whole_query_equals_plain_scan(spark, sf):
             parts = parts[:-1]
         assert (r.licence, r.from_path) == (want or (None, None))
     assert 0 < FILE_SHARE < 1 and OPENING > 0
+
+
+def test_the_nearest_licence_file_counts_known_or_not(spark):
+    mit = TEXTS["MIT"].split("\n")[1]
+    strange = "All rights reserved. Custom license agreement: no use permitted."
+    files = [
+        ("p/LICENSE", mit), ("p/a.py", "x"), ("p/u/LICENSE", strange), ("p/u/c.py", "x"), ("p/u/v/d.py", None), ("p/u/own.py", "Released under the MIT License"), ("p/e/LICENSE", ""), ("p/e/f", "x"), ("p/n/LICENSE.txt", None), ("p/n/f", "x"),
+        ("two/LICENSE-APACHE", "Licensed under the Apache License, Version 2.0"), ("two/LICENSE-MIT", mit), ("two/f", "x"), ("mixed/COPYING", mit), ("mixed/LICENSE", strange), ("mixed/f", "x"), ("z/LICENSE", TEXTS["Zlib"].split("\n")[1]), ("z/f", "x"),
+    ]
+    got = {r.path: (r.licence, r.via, r.from_path) for r in licensed(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got["p/a.py"] == ("MIT", "inherited", "p/LICENSE") and got["p/u/own.py"] == ("MIT", "own", None)
+    assert got["p/u/LICENSE"] == (None, "unknown", None)
+    for path, of in {"p/u/c.py": "p/u", "p/u/v/d.py": "p/u", "p/e/f": "p/e", "p/n/f": "p/n", "mixed/f": "mixed"}.items():
+        assert got[path][:2] == (None, "unknown") and got[path][2].startswith(of), path
+    assert got["two/f"] == ("Apache-2.0 OR MIT", "inherited", "two/LICENSE-APACHE") and got["z/f"] == ("Zlib", "inherited", "z/LICENSE")
+
+
+def test_negated_notices_and_expressions():
+    t = Templates.standard()
+    for text in ("This is not licensed under the MIT License", "It isn't released under the MIT License.", "was never Licensed under the MIT License"):
+        assert t.declared(text)[0] is None, text
+    assert t.declared("We do not mind. All of this work here is Released under the MIT License")[0] == "MIT"
+    assert t.declared(TEXTS["MIT"])[0] == "MIT" and t.declared(TEXTS["ISC"])[0] == "ISC"
+    for tag in ("Apache-2.0 OR MIT", "GPL-2.0-or-later", "EPL-2.0", "(MIT AND Zlib)", "GPL-3.0-only WITH Classpath-exception-2.0"):
+        assert t.declared(f"/* SPDX-License-Identifier: {tag} */\nint x;")[:2] == (tag, 1.0)
+    assert t.declared("SPDX-License-Identifier: MIT.")[0] == "MIT"

@@ -83,6 +83,10 @@ Redistribution and use in source and binary forms, with or without modification,
 Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.""",
     "ISC": """
 Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+    "Zlib": """
+This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "EPL-2.0": """
+Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE""",
     "CC0-1.0": """
 CC0 1.0 Universal Public Domain Dedication""",
     "Unlicense": """
@@ -95,6 +99,10 @@ THRESHOLD, FILE_SHARE, OPENING = 0.7, 0.5, 40
 PIECE = 1 << 15
 FILE_NAME = r"(?i)^(un)?licen[sc]es?\b|^copying\b"
 _WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
+#: A notice that one of these words precedes by at most so many words, or that holds more of them than its template, declares nothing.
+NEGATIONS, BEFORE = frozenset(["not", "never", "neither", "nor", "cannot", "isn", "aren", "wasn"]), 3
+_ID = r"\(?[A-Za-z0-9][A-Za-z0-9.+-]*\)?"
+_TAG = re.compile(rf"SPDX-License-Identifier:[ \t]*({_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ID})*)")
 HINT_SQL = r"(?i)licen[sc]e|permission|redistribution|public domain|creative commons|\bcc[ 0]|general public|unencumbered"
 
 
@@ -106,6 +114,7 @@ class Templates:
         self.names, self.own = [k for k, _, _ in every], [o for _, _, o in every]
         bags = [self.terms(x) for _, x, _ in every]
         self.lengths = [sum(n for t, n in b.items() if " " not in t) for b in bags]
+        self.negations = [sum(n for t, n in b.items() if t in NEGATIONS) for b in bags]
         df = Counter(t for b in bags for t in b)
         self.index = {t: k for k, t in enumerate(sorted(df))}
         # The last place is for all terms that no template knows.
@@ -176,40 +185,52 @@ class Templates:
         longest, covered, top, opening = max(self.lengths), np.zeros(len(words), bool), (0.0, 0, ""), False
         for lo in range(0, max(1, len(words)), PIECE):
             for k, a, b, score in self.passages(words[lo : lo + PIECE + longest]):
+                if not self.own[k] and sum(w in NEGATIONS for w in words[max(0, lo + a - BEFORE) : lo + b]) > self.negations[k]:
+                    continue
                 covered[lo + a : lo + b] = True
                 top = max(top, (score, self.lengths[k], self.names[k]))
                 opening |= self.own[k] and lo + a <= OPENING
         return (top[2] or None), top[0], bool(top[2]) and (opening or covered.sum() >= FILE_SHARE * len(words))
 
 
+    def declared(self, text: str) -> tuple[str | None, float, bool]:
+        """``best``, but a tag of the text says its licence itself: a whole SPDX expression, of known licences or not."""
+        found, tag = self.best(text), _TAG.search(text)
+        return (" ".join(tag[1].rstrip(".").split()), 1.0, found[2]) if tag else found
+
+
 def scan(files: DataFrame, templates: Templates | None = None) -> DataFrame:
-    """(path, licence, score, is_file) of each row of ``files`` (path, text, any further columns) whose own text declares a licence.
+    """(path, licence, score, is_file, named) of each row of ``files`` (path, text, any further columns) whose own text declares a licence, or whose name says that it is one.
 
     Passages as long as a template are compared with it wherever they stand in
     the whole text, across line ends; the greatest cosine counts, of equals the
-    longer template. is_file: the file is named as licences are, or begins with
-    a licence's own text, or half of its words lie in such passages. Null and
-    empty texts declare nothing.
+    longer template; a negated notice does not count; an SPDX tag counts before
+    any. is_file: the file is named as licences are, or begins with a licence's
+    own text, or half of its words lie in such passages. Null and empty texts
+    declare nothing; a file named as a licence has then a null one.
     """
     shared = files.sparkSession.sparkContext.broadcast(templates or Templates.standard())  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [shared.value.best(text) for text in batch.column(1).to_pylist()]
+            out = [shared.value.declared(text or "") for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_())))], names=["path", "licence", "score", "is_file"])
 
-    hits = files.select("path", "text").where(F.col("text").rlike(HINT_SQL)).mapInArrow(run, "path string, licence string, score double, is_file boolean")
-    named = F.regexp_extract("path", "([^/]*)$", 1).rlike(FILE_NAME)
-    return hits.where("licence is not null").withColumn("is_file", F.coalesce(named, F.lit(False)) | F.col("is_file"))
+    named = F.coalesce(F.regexp_extract("path", "([^/]*)$", 1).rlike(FILE_NAME), F.lit(False))
+    hits = files.select("path", "text").where(F.coalesce(F.col("text").rlike(HINT_SQL), F.lit(False)) | named).mapInArrow(run, "path string, licence string, score double, is_file boolean")
+    return hits.withColumn("named", named).where("licence is not null or named").withColumn("is_file", F.col("named") | F.col("is_file"))
 
 
 def licensed(files: DataFrame, templates: Templates | None = None) -> DataFrame:
     """All columns of ``files`` but text, with licence, score, via and from_path.
 
     A file has the licence its text declares (via ``own``); else that of the
-    licence file in the nearest directory above it (via ``inherited``;
-    from_path is the licence file, of several in a directory the first by path);
-    else none (via ``none``). Directories are cut at ``/``. Null paths inherit
+    nearest directory at or above its own that holds a licence file (via
+    ``inherited``; from_path is the first by path); else none (via ``none``). The
+    nearest licence file counts whether its text is known or not: if it is not,
+    or one of several named ones in the directory is not, the licence is null
+    (via ``unknown``). Several known ones that are named as licences are joined
+    by OR; among others the first by path counts. Directories are cut at ``/``. Null paths inherit
     nothing; null and empty texts declare nothing; rows of equal path share the
     best declaration; columns of these names are replaced.
 
@@ -217,10 +238,14 @@ def licensed(files: DataFrame, templates: Templates | None = None) -> DataFrame:
     exploded to its ancestors once, whatever number of files it holds.
     """
     files = files.drop("licence", "score", "via", "from_path")
-    own = written(scan(files.where("path is not null"), templates).groupBy("path").agg(F.max_by(F.struct("licence", "score", "is_file"), F.struct("score", "licence")).alias("o")).select("path", "o.*"))
+    best = F.max_by(F.struct("licence", "score", "is_file", "named"), F.struct("score", "licence"))
+    own = written(scan(files.where("path is not null"), templates).groupBy("path").agg(best.alias("o")).select("path", "o.*"))
     directory = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    declared = own.where("is_file").withColumn("at", directory).groupBy("at").agg(F.min(F.struct("path", "licence", "score")).alias("f"))
-    declared = written(declared.select("at", F.col("f.path").alias("from_path"), F.col("f.licence").alias("f_licence"), F.col("f.score").alias("f_score")))
+    first = F.min(F.struct(~F.col("named"), "path", "licence", "score"))
+    # A directory holds as many licence files as it names licences.
+    held = own.where("is_file").withColumn("at", directory).groupBy("at").agg(first.alias("f"), F.array_sort(F.collect_set(F.when(F.col("named"), F.col("licence")))).alias("all"), F.count_if(F.expr("named and licence is null")).alias("strange"))
+    several = F.when(F.col("strange") > 0, None).when(F.size("all") > 1, F.array_join("all", " OR ")).otherwise(F.col("f.licence"))
+    declared = written(held.select("at", F.col("f.path").alias("from_path"), several.alias("f_licence"), F.when(F.col("strange") > 0, 0.0).otherwise(F.col("f.score")).alias("f_score")))
     rest = files.drop("text")
     at, mine, above = unused(rest.columns, "_dir", "_own", "_above")
     out = rest.withColumn(at, directory)
@@ -229,11 +254,13 @@ def licensed(files: DataFrame, templates: Templates | None = None) -> DataFrame:
     up = places.withColumn("depth", F.explode(F.sequence(F.lit(0), F.size(parts)))).withColumn("at", F.array_join(F.slice(parts, 1, F.col("depth")), "/"))
     near = written(up.join(declared, "at").groupBy("dir").agg(F.max_by(F.struct("from_path", "f_licence", "f_score"), "depth").alias("n")))
     out = out.join(own.select("path", F.struct("licence", "score").alias(mine)), "path", "left").join(near.select(F.col("dir").alias(at), F.col("n").alias(above)), at, "left")
-    via = F.when(F.col(mine).isNotNull(), "own").when(F.col(above).isNotNull(), "inherited").otherwise("none")
+    has, over = F.col(mine)["licence"].isNotNull(), F.col(above)
+    strange = F.col(mine).isNotNull() | over.isNotNull() & over["f_licence"].isNull()
+    via = F.when(has, "own").when(strange, "unknown").when(over.isNotNull(), "inherited").otherwise("none")
     return out.select(
         *[F.col(f"`{c}`") for c in rest.columns],
-        F.coalesce(F.col(mine)["licence"], F.col(above)["f_licence"]).alias("licence"),
-        F.coalesce(F.col(mine)["score"], F.col(above)["f_score"], F.lit(0.0)).alias("score"),
+        F.when(has, F.col(mine)["licence"]).when(~strange, over["f_licence"]).alias("licence"),
+        F.when(has, F.col(mine)["score"]).otherwise(F.when(~strange, F.coalesce(over["f_score"], F.lit(0.0))).otherwise(0.0)).alias("score"),
         via.alias("via"),
-        F.when(F.col(mine).isNull(), F.col(above)["from_path"]).alias("from_path"),
+        F.when(F.col(mine).isNull(), over["from_path"]).alias("from_path"),
     )
