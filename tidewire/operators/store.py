@@ -6,7 +6,7 @@ snapshot, which the caller writes beside the old one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -70,3 +70,9 @@ def merge_report(staging: DataFrame, target: DataFrame, key: str, arrival: str)
 def check_counts(before: DataFrame, after: DataFrame) -> int:
     """The number of rows lost; 0 in an archive that only annotates."""
     return before.count() - after.count()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in any store that Spark reads."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)

@@ -23,18 +23,13 @@ def deduplicated(stream: DataFrame, delay: str = "2 hours") -> DataFrame:
     return typed.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["url"])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
-
-
 def append_new(path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that appends rows whose url the table has not seen; a batch run again writes the same folder."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = S.insert_if_absent(batch, batch.limit(0).select("url"), "url", "fetched_at")
-        if _exists(spark, path):
+        if S.exists(spark, path):
             history = spark.read.option("basePath", path).parquet(path).where(F.col("batch") != number)
             new = new.join(history.select("url"), "url", "left_anti")
         new.write.mode("overwrite").parquet(f"{path}/batch={number}")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .ingest import _exists
+from ..operators.store import exists
 
 #: From claimed articles (all their columns) to a stage's result.
 Stage = Callable[[DataFrame], DataFrame]
@@ -24,9 +24,9 @@ Stage = Callable[[DataFrame], DataFrame]
 
 def _others(spark: SparkSession, path: str, slot: str) -> DataFrame | None:
     """Rows that other slots wrote."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return None
-    return spark.read.option("basePath", path).option("recursiveFileLookup", "false").parquet(path).where(F.col("slot") != slot)
+    return spark.read.option("basePath", path).parquet(path).where(F.col("slot") != slot)
 
 
 @dataclass
@@ -45,7 +45,7 @@ class Slots:
 
     def claims(self, spark: SparkSession, stage: str) -> DataFrame | None:
         path = f"{self.root}/claims/{stage}"
-        return spark.read.option("basePath", path).parquet(path) if _exists(spark, path) else None
+        return spark.read.option("basePath", path).parquet(path) if exists(spark, path) else None
 
     def results(self, spark: SparkSession, stage: str) -> DataFrame:
         path = f"{self.root}/results/{stage}"
