@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import algorithms, primitives, relations, scalars, service  # noqa: F401  these register queries
+from .plans import algorithms, models, primitives, relations, scalars, service  # noqa: F401  these register queries
 from .plans.registry import ORACLES, QUERIES, Query
 
 

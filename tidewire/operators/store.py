@@ -67,6 +67,15 @@ def merge_report(staging: DataFrame, target: DataFrame, key: str, arrival: str)
     return one.select("staged", "inserted", (F.col("_t") + F.col("inserted")).alias("total"))
 
 
+def delta(before: DataFrame, after: DataFrame, key: str, at: str) -> DataFrame:
+    """(at, n, lo, hi): count and range of both tables, and how many keys were lost and gained; the keys are compared in one full join."""
+    both = before.select(F.col(key), F.col(at).alias("_b"), F.lit(True).alias("_old")).join(after.select(F.col(key), F.col(at).alias("_a"), F.lit(True).alias("_new")), key, "full")
+    old, new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
+    row = lambda name, n, lo=None, hi=None: F.struct(F.lit(name).alias("at"), n.alias("n"), (lo if lo is not None else F.min(F.when(F.lit(False), F.col("_b")))).alias("lo"), (hi if hi is not None else F.min(F.when(F.lit(False), F.col("_b")))).alias("hi"))
+    found = both.agg(F.array(row("before", F.count_if(old), F.min("_b"), F.max("_b")), row("after", F.count_if(new), F.min("_a"), F.max("_a")), row("lost", F.count_if(old & ~new)), row("gained", F.count_if(new & ~old))).alias("x"))
+    return found.select(F.explode("x").alias("x")).select("x.*")
+
+
 def check_counts(before: DataFrame, after: DataFrame) -> int:
     """The number of rows lost; 0 in an archive that only annotates."""
     return before.count() - after.count()

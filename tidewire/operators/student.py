@@ -98,11 +98,12 @@ def train(rows: DataFrame, key: str = "id", label: str = "label", features: str
     Rows without label or features are left out. There must be two labels at least.
     """
     from .classify import measures
+    from .clustering import checkpointed
 
     ready = rows.where(F.col(label).isNotNull() & F.col(features).isNotNull())
     ready = with_fold(ready.select(key, F.col(label).cast("string").alias(label), features), key, label, folds)
     weight = balanced(ready, label)
-    ready = ready.withColumn("_weight", weight)
+    ready = checkpointed(ready.withColumn("_weight", weight))  # every fold reads it
     classes = sorted(r[0] for r in ready.select(label).distinct().collect())  # a row for each label
     size = len(ready.select(features).first()[0])
     pipeline = head(kind, features, label, size, classes, **options)
@@ -114,7 +115,7 @@ def train(rows: DataFrame, key: str = "id", label: str = "label", features: str
     if cross_validate:
         judge = MulticlassClassificationEvaluator(labelCol="_y", predictionCol="_p", metricName="accuracy")
         found = CrossValidator(estimator=pipeline, estimatorParamMaps=[{}], evaluator=judge, numFolds=folds, foldCol="fold", parallelism=2).fit(ready)
-        mean, std = round(found.avgMetrics[0], 4), round(found.stdMetrics[0], 4)
+        mean, std = round(float(found.avgMetrics[0]), 4), round(float(found.stdMetrics[0]), 4)
     report = Report(kind, classes, train_rows.count(), result.n, result.accuracy, mean, std, confusion(stored, label, "predicted", classes), measures(stored, label, "predicted"))
     return model, report
 

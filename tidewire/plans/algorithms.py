@@ -262,12 +262,6 @@ def alg_28(s: Spark, d: str) -> DataFrame:
     return C.sandbox(vectors(s, d), 0.3)
 
 
-@query("alg_04_minhash_clusters")
-def alg_04(s: Spark, d: str) -> DataFrame:
-    rows = text_articles(s, d).select("id", F.col("title").alias("text"))
-    return C.first_come_labels(rows, checkpointed(C.minhash_pairs(rows, 0.7, checkpointed)), checkpointed)
-
-
 @query("alg_35_recent_window", f"WITH r AS (SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 36 HOUR) SELECT count(*) AS n, count(*) >= 2 AS clustered FROM r JOIN embeddings ON vec_id = event_id", None)
 def alg_35(s: Spark, d: str) -> DataFrame:
     """The last 36 hours in one block; fewer than two rows are not clustered."""

@@ -198,6 +198,14 @@ def snk_13(s: Spark, d: str) -> DataFrame:
     return rest.select(F.col("id").alias("article_id"), F.lit(-1).alias("cluster_label"), F.lit(True).alias("is_centroid"), F.lit(0.0).alias("distance"))
 
 
-@query("snk_19_delta", "SELECT count(*) AS before_n, count(*) FILTER (WHERE id % 9 <> 0) AS after_n, min(published_at) AS lo, max(published_at) AS hi FROM articles")
+@query(
+    "snk_19_delta",
+    """WITH after_n AS (SELECT id, published_at FROM articles WHERE id % 9 <> 0 UNION ALL SELECT id + 100000000, published_at + INTERVAL 1 DAY FROM articles WHERE id % 10 = 1),
+    x AS (SELECT 'before' AS at, count(*) AS n, min(published_at) AS lo, max(published_at) AS hi FROM articles UNION ALL SELECT 'after', count(*), min(published_at), max(published_at) FROM after_n)
+    SELECT * FROM x UNION ALL SELECT 'lost', (SELECT count(*) FROM articles WHERE id NOT IN (SELECT id FROM after_n)), NULL, NULL UNION ALL SELECT 'gained', (SELECT count(*) FROM after_n WHERE id NOT IN (SELECT id FROM articles)), NULL, NULL""",
+)
 def snk_19(s: Spark, d: str) -> DataFrame:
-    return articles(s, d).agg(F.count("*").alias("before_n"), F.count_if(F.col("id") % 9 != 0).alias("after_n"), F.min("published_at").alias("lo"), F.max("published_at").alias("hi"))
+    """Count and range of a table before and after rows went and others came, and how many of each."""
+    old = articles(s, d, False).select("id", "published_at")
+    new = old.where("id % 9 <> 0").unionByName(old.where("id % 10 = 1").select((F.col("id") + 100000000).alias("id"), F.expr("published_at + INTERVAL 1 DAY").cast(old.schema["published_at"].dataType).alias("published_at")))
+    return S.delta(old, new, "id", "published_at")

@@ -33,10 +33,10 @@ def str_06(s: Spark, d: str) -> DataFrame:
     return companies(s, d).select("id", T.cashtag(text, F.col("ticker")).alias("tagged"))
 
 
-@query("str_10_unfenced", "SELECT id, id AS a FROM articles WHERE id <= 500")
+@query("str_10_unfenced", "SELECT id, id AS a FROM articles")
 def str_10(s: Spark, d: str) -> DataFrame:
     reply = F.concat(F.lit('```json\n{"a": '), F.col("id").cast("string"), F.lit("}\n```"))
-    return articles(s, d).where("id <= 500").select("id", F.get_json_object(T.unfenced(reply), "$.a").cast("long").alias("a"))
+    return articles(s, d).select("id", F.get_json_object(T.unfenced(reply), "$.a").cast("long").alias("a"))
 
 
 @query("str_12_ellipsis", "SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS t FROM documents", None)
