@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import backfill as B
 from ..operators import clustering as C
 from ..operators import entities as E
+from ..operators import inference as I
 from ..operators import minhash as M
 from ..operators import student as K
+from . import algorithms  # noqa: F401  the SQL of its queries is used here
 from .annotation import unprocessed
 from .fixtures import table, text_articles
 from .registry import ORACLES, query
@@ -120,3 +123,30 @@ def alg_27_refinery(s: Spark, d: str) -> DataFrame:
     rows = text_articles(s, d)
     vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return process_batch(rows, vectors, rows.where("classification_label is not null"), batch_size=200, hours=240, exclude="src1%", threshold=0.3).stats
+
+
+LABELS = ("FACTUAL", "OPINION", "SLOP")
+
+
+def rule_head() -> I.LinearHead:
+    """A head whose weights come from MD5, so SQL can make them too: it shows the path of a model, not one that was trained."""
+    from hashlib import md5
+
+    return I.LinearHead(LABELS, np.array([[int(md5(f"{c}:{k}".encode()).hexdigest()[:8], 16) % 2001 - 1000 for k in range(I.BUCKETS)] for c in range(len(LABELS))]))
+
+
+@query(
+    "alg_36_model_histogram",
+    f"""WITH w AS (SELECT id, source, list_slice(regexp_extract_all(lower(title || ' ' || summary), '[\\p{{L}}\\p{{N}}_]+'), 1, {I.TOKENS}) AS w FROM text_articles),
+    b AS (SELECT id, CAST('0x' || substr(md5(unnest(w)), 1, 8) AS BIGINT) % {I.BUCKETS} AS k FROM w),
+    c(c, name) AS (VALUES {', '.join(f"({i}, '{x}')" for i, x in enumerate(LABELS))}),
+    s AS (SELECT id, c, name, sum(CAST('0x' || substr(md5(c || ':' || k), 1, 8) AS BIGINT) % 2001 - 1000) AS s FROM b, c GROUP BY id, c, name),
+    p AS (SELECT id, arg_min(name, (-s, c)) AS label FROM s GROUP BY id),
+    l AS (SELECT source, coalesce(label, 'UNKNOWN') AS label FROM w LEFT JOIN p USING (id))
+    SELECT source, label, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY source), 6) AS share FROM l GROUP BY source, label""",
+    "text",
+)
+def alg_36_model(s: Spark, d: str) -> DataFrame:
+    """Labels of the whole backlog by a model in batches, by source."""
+    rows = text_articles(s, d).select("id", "source", "title", "summary")
+    return I.histogram(I.classified(rows, F.concat_ws(" ", "title", "summary"), rule_head, LABELS).select("source", "label"))
