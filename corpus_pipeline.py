@@ -8,7 +8,10 @@ stated there.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewire.llm.decontaminate import contamination
 from tidewire.llm.minhash import one_of_each
@@ -19,9 +22,17 @@ from tidewire.llm.sharding import shard_table
 from tidewire.llm.toxicity import toxicity
 
 
+def keeping(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of ``docs`` in the rows that ``operator`` returns; all but those it reads have other names meanwhile, so none is replaced."""
+    read = {"doc_id", "text", "source"}
+    away = {c: c if c in read else f"_own_{i}" for i, c in enumerate(docs.columns)}
+    out = operator(docs.select(*[F.col(f"`{c}`").alias(a) for c, a in away.items()]))
+    return out.select(*[F.col(a).alias(c) for c, a in away.items()])
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. Null and empty texts are not toxic; equal texts share their fate; without labels of both kinds nothing goes, unless all are toxic."""
-    return toxicity(docs, table(spark, sf_dir, "labels")).where("toxicity < 0.5").select(*docs.columns)
+    return keeping(docs, lambda rows: toxicity(rows, table(spark, sf_dir, "labels")).where("toxicity < 0.5"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,17 +44,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and rows without doc_id, stay. A text like no other stays, also if another
     text has the same doc_id.
     """
-    return one_of_each(docs, n=5, percent=80).select(*docs.columns)
+    return keeping(docs, lambda rows: one_of_each(rows, n=5, percent=80))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a test item go. Null and empty texts hold none; null, empty and repeated items do no harm; without items nothing goes."""
-    return contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+    return keeping(docs, lambda rows: contamination(rows, table(spark, sf_dir, "benchmark")).where("not contaminated"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come to their target weights; a document stays as often as its count says. A null source is a source; equal rows, and rows of a source without doc_id, share a count."""
-    return poisson_mix(docs).select(*docs.columns)
+    return keeping(docs, poisson_mix)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
