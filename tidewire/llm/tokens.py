@@ -13,7 +13,7 @@ import numpy as np
 #: Characters that every Unicode version classes alike; a text with any other is encoded whole.
 PLAIN = r"\t\n\r\x20-\x7e\xa1-ɏΑ-ΡЀ-ҁぁ-ゖァ-ヺ一-龥"
 #: Stretches that a task remembers, and their characters; as many of the time before are kept until these are full.
-KNOWN, CHARS = 1 << 18, 1 << 23
+KNOWN, CHARS = 1 << 19, 1 << 23
 #: Characters encoded at once, and stretches in one text when new ones are encoded.
 BLOCK, TOGETHER = 1 << 20, 256
 #: A space before white space does not begin a word (PLAIN has no other white space).
@@ -71,35 +71,38 @@ class Encoder:
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of stretches not known: those of the time before are kept, the others are encoded."""
-        kept = [u for u in new if u in self.older.at]
-        if kept:
-            flat, count = self.older.of(np.fromiter((self.older.at[u] for u in kept), np.int64, len(kept)))
-            self.known.add(kept, flat, count)
-            new = [u for u in new if u not in self.older.at]
-        alone = [u for u in new if u.startswith(START) or " " in u]
-        if alone:
-            ids = self._encoded([u[1:] if u.startswith(START) else f" {u}" for u in alone])
-            self.known.add(alone, np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
-            new = [u for u in new if not u.startswith(START) and " " not in u]
-        if new:
+    def _learn(self, new: set[str], alone: set[str]) -> None:
+        """Ids of stretches not known: those of the time before are kept, the others are encoded; ``alone`` are those that do not begin with their only space."""
+        if kept := list(new.intersection(self.older.at)):
+            self.known.add(kept, *self.older.of(np.fromiter(map(self.older.at.__getitem__, kept), np.int64, len(kept))))
+            new = new.difference(kept)
+        if some := list(new & alone):
+            ids = self._encoded([u[1:] if u.startswith(START) else f" {u}" for u in some])
+            self.known.add(some, np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        if rest := list(new - alone):
             # Many in one text: each begins with its only space, and so with an id that does.
-            texts = [f" {' '.join(new[i : i + TOGETHER])}" for i in range(0, len(new), TOGETHER)]
+            texts = [f" {' '.join(rest[i : i + TOGETHER])}" for i in range(0, len(rest), TOGETHER)]
             flat = np.concatenate([np.array(x, np.uint32) for x in self._encoded(texts)])
             begin = np.flatnonzero(self.opens[flat])
-            self.known.add(new, flat, np.diff(np.append(begin, len(flat))))
+            self.known.add(rest, flat, np.diff(np.append(begin, len(flat))))
 
     def _words(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known.at) > KNOWN or self.known.chars > CHARS:
             self.older, self.known = self.known, _Ids()
-        split = [self.cut.split(t) if t.endswith(" ") or any(x in t for x in ODD) else t.split(" ") for t in texts]
-        for units in split:
+        split, alone = [], set()
+        for t in texts:
+            if t.endswith(" ") or any(x in t for x in ODD):
+                units = self.cut.split(t)
+                alone.update(u for u in units if " " in u)
+            else:
+                units = t.split(" ")
             units[0] = START + units[0]
+            alone.add(units[0])
+            split.append(units)
         known = self.known.at
         new = set().union(*split).difference(known)
         if new:
-            self._learn(list(new))
+            self._learn(new, alone)
         sizes = [len(units) for units in split]
         flat, count = self.known.of(np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes)))
         ends = np.concatenate([[0], np.cumsum(count)])[np.cumsum([0, *sizes])]
