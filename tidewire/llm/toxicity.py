@@ -452,7 +452,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: str = HELD_OUT) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in tk.texts(batch.column(at), 1 << 19):
+            for lo, hi, data, offsets in tk.texts(batch.column(at), 1 << 17):
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.value.scores(data, offsets))], names=[*part.schema.names, "toxicity"])
 
