@@ -37,8 +37,8 @@ def alg_01(s: Spark, d: str) -> DataFrame:
 
 @query("alg_01_greedy_by_edges", _GREEDY + " SELECT m.i AS id, p.i AS seed FROM m LEFT JOIN p ON p.p = m.seed", None)
 def alg_01_edges(s: Spark, d: str) -> DataFrame:
-    v = vectors(s, d)
-    return C.greedy_by_edges(v, C.similar_pairs(v, 0.3), 2, checkpointed)
+    """Edges are found anew in each round and never kept."""
+    return C.greedy_by_rounds(vectors(s, d), 0.3, 2, checkpointed).select("id", "seed")
 
 
 @query("alg_02_assignments", _GREEDY + """, size AS (SELECT seed, count(*) AS n FROM m GROUP BY seed)
@@ -253,7 +253,7 @@ def alg_32(s: Spark, d: str) -> DataFrame:
 
 @query("q25_all_pairs", f"SELECT a.vec_id AS i, b.vec_id AS j, round({_SIM}, 6) AS sim, {_SIM} >= 0.4 AS would_cluster FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id ORDER BY {_SIM} DESC, i, j LIMIT 50", None)
 def q25(s: Spark, d: str) -> DataFrame:
-    pairs = C.similar_pairs(vectors(s, d), -1.0, most=50)
+    pairs = C.similar_pairs(vectors(s, d), -1.0, None, most=50)
     return pairs.orderBy(F.desc("sim"), "i", "j").limit(50).select("i", "j", F.round("sim", 6).alias("sim"), (F.col("sim") >= 0.4).alias("would_cluster"))
 
 
