@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import copies
 
 #: Hashes and permutations are modulo this prime; products stay below 2^62.
 PRIME = (1 << 31) - 1
@@ -62,6 +63,12 @@ def pairs(placed: DataFrame) -> DataFrame:
     return a.join(b, "bucket").where("i < j").select("i", "j").distinct()
 
 
+def text_pairs(rows: DataFrame, threshold: float, keep: Callable[[DataFrame], DataFrame], permutations: int = 128, k: int = 3) -> DataFrame:
+    """``pairs`` of the buckets of ``rows`` (id, text): those of different words are found between one row of each, copies are expanded last."""
+    heads, chunks = copies.classes(rows, keep)
+    return copies.expanded(keep(pairs(buckets(heads, threshold, permutations, k))), chunks, {})
+
+
 def clusters(rows: DataFrame, threshold: float, keep: Callable[[DataFrame], DataFrame], permutations: int = 128, k: int = 3) -> DataFrame:
     """(id, label) of each of ``rows`` (id, text): candidates are not verified.
 

@@ -69,7 +69,7 @@ def _titles(s: Spark, d: str) -> DataFrame:
 @query("alg_04_minhash_pairs", f"WITH {_BUCKETS} SELECT DISTINCT a.id AS i, b.id AS j FROM buckets a JOIN buckets b ON a.bucket = b.bucket AND a.id < b.id", "text")
 def alg_04_pairs(s: Spark, d: str) -> DataFrame:
     """Candidates of the index: titles that share a band."""
-    return M.pairs(M.buckets(_titles(s, d), 0.7))
+    return M.text_pairs(_titles(s, d), 0.7, C.checkpointed)
 
 
 @query(
