@@ -5,8 +5,10 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tidewire.llm import tokens
 from tidewire.llm.cutting import filled, knapsack, patterns, plan
 from tidewire.llm.packing import CAPACITY, Layout, packed
 from tidewire.llm.queries import op12_cutting_stock_packing, table
@@ -93,6 +95,35 @@ def test_encoder_equals_plain_encoding(plain):
         assert ids.tolist() == plain(text), repr(text)
 
 
+def test_words_of_a_block_are_looked_up_once_each(plain, monkeypatch):
+    looked, find = [], tokens.pc.index_in
+    monkeypatch.setattr(tokens.pc, "index_in", lambda values, known: looked.append(len(values)) or find(values, known))
+    encode = Encoder(Path(PATH).read_text())
+    texts = ["alpha beta, gamma. " * 500 + "end", "beta,  gamma. alpha\n" * 500] * 5
+    for _ in range(2):
+        assert [x.tolist() for x in encode(texts)] == [plain(t) for t in texts]
+    assert 0 < sum(looked) < 60  # of 30,000 words
+
+
+def test_encoder_of_arrow_texts_in_small_blocks(plain, monkeypatch):
+    """Null texts, slices, blocks of a few texts, and stretches forgotten and met again."""
+    monkeypatch.setattr(tokens, "BLOCK", 200)
+    monkeypatch.setattr(tokens, "KNOWN", 30)
+    monkeypatch.setattr(tokens, "TOGETHER", 3)
+    monkeypatch.setattr(tokens, "BYTES", 1500)
+    monkeypatch.setattr(tokens, "FEW", 0.1)
+    rng = random.Random(5)
+    words = ["de", "la", "été", "x.\ny", "", "", "\n", "\t", "naïve", "It's", "12", "the", "!!", "Ⅷ", "\x01", "\x00", "語語", "w" * 300]
+    texts = [None, "", " ", "  ", "\n", " \n "] + [rng.choice([" ", ""]) + " ".join(rng.choices([*words, *(f"n{i}" for i in range(50))], k=rng.choice([1, 2, 9, 40]))) for _ in range(800)] + [None]
+    encode = Encoder(Path(PATH).read_text())
+    for kind in (pa.string(), pa.large_string()):
+        held = pa.array(["before", *texts, "after"], kind).slice(1, len(texts))
+        for text, ids in zip(texts, encode(held), strict=True):
+            assert ids.tolist() == plain(text), repr(text)
+    assert encode.round > 50 and len(encode.known.stretches) < 400
+    assert list(encode([])) == []
+
+
 def test_other_tokenizers_are_encoded_whole():
     path = public_tokenizers.path("word_bpe_49k.json")
     encode, t = Encoder(Path(path).read_text()), Tokenizer.from_file(path)

@@ -47,7 +47,7 @@ class Packing:
 
 def tokenised(docs: DataFrame, definition: str, end: int, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, start, length, doc_tokens, crc, ids) of each document's ids and an ``end``: whole sequences of ``capacity`` first, then the rest."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(definition)
@@ -59,8 +59,7 @@ def tokenised(docs: DataFrame, definition: str, end: int, capacity: int = CAPACI
 
         for batch in batches:
             held, size = [], 0
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(end)).astype("<u4")
                 for start in range(0, len(ids), capacity):
                     body = ids[start : start + capacity].tobytes()
